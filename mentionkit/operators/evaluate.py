@@ -75,10 +75,9 @@ def confusion_matrix(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """3x3 ``(label, pred, n)``, zero filled."""
     j = with_prediction_class(align(truth, pred))
     counts = j.groupBy("label", "pred").agg(F.count(F.lit(1)).alias("n"))
-    dim = class_dimension(truth.sparkSession)
-    grid = (F.broadcast(dim.select(F.col("cls").alias("label")))
-            .crossJoin(F.broadcast(dim.select(F.col("cls").alias("pred")))))
-    return (grid.join(counts, ["label", "pred"], "left")
+    grid = truth.sparkSession.createDataFrame(
+        [(i, j) for i in range(3) for j in range(3)], "label int, pred int")   # fixed 9 cells
+    return (F.broadcast(grid).join(counts, ["label", "pred"], "left")
             .select("label", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 

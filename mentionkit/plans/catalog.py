@@ -295,3 +295,7 @@ SELECT id, label, pred, p_a, p_b, p_neither FROM ev WHERE pred <> label ORDER BY
 def q_t3(spark, sf_dir):
     m = _mentions(spark, sf_dir)
     return E.first_errors(E.truth_table(m), _r2(m))
+
+
+# the other query families register into QUERIES / SQL on import
+from mentionkit.plans import catalog_features  # noqa: E402,F401

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from mentionkit import schema as S
 from mentionkit.operators.annotate import annotate
+from mentionkit.sources.staging import input_fingerprint, staged
 from mentionkit.sources.tables import passages as read_passages
 
 MENTION_COLUMNS = ["id", "doc_id", "text", "pronoun", "pronoun_offset", "a", "a_offset",
@@ -65,8 +66,30 @@ class Corpus:
     mentions: DataFrame
 
 
-def load_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+def load_corpus(spark: SparkSession, sf_dir: str, stage: bool = True) -> Corpus:
+    """Passages, words and mentions of one driver scale.
+
+    With ``stage`` the annotated words and the mentions are staged tables (S4):
+    computed once per input fingerprint, then read back from Parquet.
+    """
     passages = read_passages(spark, sf_dir)
-    words = annotate(passages)
-    mentions = mention_fixture(words, passages)
+    if not stage:
+        words = annotate(passages)
+        return Corpus(passages, words, mention_fixture(words, passages))
+    key = input_fingerprint(passages, "annotate-v1")
+    words = staged(spark, "words", key, lambda: annotate(passages), sort_by=["doc_id", "wi"])
+    mentions = staged(spark, "mentions", key, lambda: mention_fixture(words, passages), sort_by=["id"])
     return Corpus(passages, words, mentions)
+
+
+@dataclass
+class Context:
+    corpus: Corpus
+    targets: DataFrame
+
+
+def load_context(spark: SparkSession, sf_dir: str) -> Context:
+    """Corpus plus the aligned pronoun / A / B targets."""
+    from mentionkit.operators.align import targets_of
+    corpus = load_corpus(spark, sf_dir)
+    return Context(corpus, targets_of(corpus.mentions, corpus.words))
