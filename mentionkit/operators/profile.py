@@ -78,3 +78,108 @@ def cohort_counts(mentions: DataFrame, she: list[str] = S.PROFILE_SHE, he: list[
         F.sum("m").cast("long").alias("he_names"),
         F.sum(((F.col("f") == 1) & (F.col("m") == 0)).cast("long")).alias("she_only"),
         F.sum(((F.col("m") == 1) & (F.col("f") == 0)).cast("long")).alias("he_only"))
+
+
+# ------------------------------------------------------ contrast statistics ---
+def pair_blocks(mentions: DataFrame) -> DataFrame:
+    """``(id, cand, is_true, block)`` -- true pairs: A-true (vs A), B-true (vs B);
+    false pairs: B-true (vs A), A-true (vs B), NEITHER (vs A), NEITHER (vs B)."""
+    a, b = F.col("a_coref"), F.col("b_coref")
+    nei = C.neither()
+
+    def blk(cond, is_true, block, cand):
+        return F.when(cond, F.struct(F.lit(is_true).alias("is_true"), F.lit(block).alias("block"),
+                                     F.lit(cand).alias("cand")))
+
+    p = mentions.select("id", F.explode(F.array(
+        blk(a, True, 0, "A"), blk(b, True, 1, "B"),
+        blk(b, False, 0, "A"), blk(a, False, 1, "B"),
+        blk(nei, False, 2, "A"), blk(nei, False, 3, "B"))).alias("p"))
+    return p.where(F.col("p").isNotNull()).select("id", "p.cand", "p.is_true", "p.block")
+
+
+def pair_statistics(pairs: DataFrame, interactions: DataFrame, family: str = "position") -> DataFrame:
+    """Per pair ``(id, cand, is_true, block, l1, same)``: L1 of P-C and overlap sum(P*C).
+
+    Starts from the pair list, so a pair whose difference is all zero still counts (0).
+    """
+    sums = (interactions.where(F.col("family") == family)
+            .groupBy("id", "cand").agg(F.sum(F.abs("diff")).alias("l1"), F.sum("prod").alias("same")))
+    return pairs.join(sums, ["id", "cand"], "left").select(
+        "id", "cand", "is_true", "block",
+        F.coalesce("l1", F.lit(0)).cast("long").alias("l1"),
+        F.coalesce("same", F.lit(0)).cast("long").alias("same"))
+
+
+def class_statistics(stats: DataFrame) -> DataFrame:
+    """A4 + A5: mean and population variance of L1 and overlap per true / false class."""
+    return stats.groupBy("is_true").agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.avg("l1").alias("l1_mean"), F.var_pop("l1").alias("l1_var"),
+        F.avg("same").alias("same_mean"), F.var_pop("same").alias("same_var"))
+
+
+def global_ordinal(df: DataFrame, order_cols: list[str], name: str = "ord") -> DataFrame:
+    """0-based position of each row in the total order ``order_cols`` without a one-task window.
+
+    Range partitioning sorts the rows across tasks; a row's position is the
+    sizes of the earlier partitions plus its index inside its partition. The
+    sorted rows are checkpointed to the shared folder so both passes see the
+    same partitions. Only the per-partition counts (one row per partition)
+    meet in one place.
+    """
+    from mentionkit.session import checkpoint_dir
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+         .withColumn("_mid", F.monotonically_increasing_id())
+         .checkpoint(eager=True))
+    s = s.select("*", F.shiftright("_mid", 33).alias("_pid"),
+                 F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_loc"))
+    from pyspark.sql import Window
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (s.join(F.broadcast(offsets), "_pid")      # one row per partition: bounded
+            .withColumn(name, (F.col("_off") + F.col("_loc")).cast("long"))
+            .drop("_mid", "_pid", "_loc", "_off"))
+
+
+def zip_true_false(stats: DataFrame) -> DataFrame:
+    """J4 + A6: the i-th true pair against the i-th false pair (block order, then id)."""
+    t = global_ordinal(stats.where("is_true"), ["block", "id"]).select(
+        "ord", F.col("l1").alias("t_l1"), F.col("same").alias("t_same"))
+    f = global_ordinal(stats.where("NOT is_true"), ["block", "id"]).select(
+        "ord", F.col("l1").alias("f_l1"), F.col("same").alias("f_same"))
+    z = t.join(f, "ord")
+    return z.agg(F.count(F.lit(1)).alias("pairs_compared"),
+                 F.sum((F.col("t_l1") > F.col("f_l1")).cast("long")).alias("true_diff_larger"),
+                 F.sum((F.col("t_same") > F.col("f_same")).cast("long")).alias("true_same_larger"))
+
+
+def feature_contrast(pairs: DataFrame, interactions: DataFrame, vocab: DataFrame,
+                     family: str = "position") -> DataFrame:
+    """Per class and vocabulary feature: sum |P-C|, sum (P-C)+, sum (P-C)-, sum P*C."""
+    x = interactions.where(F.col("family") == family).join(pairs.select("id", "cand", "is_true"),
+                                                           ["id", "cand"])
+    sums = x.groupBy("is_true", "feature").agg(
+        F.sum(F.abs("diff")).alias("abs_diff"), F.sum(C.positive_part("diff")).alias("pos_diff"),
+        F.sum(C.negative_part("diff")).alias("neg_diff"), F.sum("prod").alias("same"))
+    full = (vocab.select("feature", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_true"))
+            .join(sums, ["is_true", "feature"], "left"))
+    return full.select("is_true", "feature",
+                       *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
+                         for c in ("abs_diff", "pos_diff", "neg_diff", "same")])
+
+
+def top_features(contrast: DataFrame, k: int = 10) -> DataFrame:
+    """Top-k features per (class, score) by score desc, ties by feature name (the limit is the feature)."""
+    from pyspark.sql import Window
+    long = contrast.selectExpr(
+        "is_true", "feature",
+        "stack(4, 'abs_diff', abs_diff, 'pos_diff', pos_diff, 'neg_diff', neg_diff, 'same', same) "
+        "as (score_kind, score)")
+    w = Window.partitionBy("is_true", "score_kind").orderBy(F.desc("score"), F.asc("feature"))
+    return (long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("is_true", "score_kind", "rank", "feature", "score"))

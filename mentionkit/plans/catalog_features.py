@@ -304,3 +304,96 @@ JOIN pw ON pw.doc_id = x.doc_id"""
 def q_w7(spark, sf_dir):
     cx = load_context(spark, sf_dir)
     return W.text_before_pronoun(cx.targets, cx.corpus.words, cx.corpus.passages)
+
+
+# ----------------------------------------------------- contrast statistics ---
+from mentionkit.operators import profile as PR  # noqa: E402
+
+PAIRS_SQL = ("pairs", """
+SELECT id, 'A' AS cand, true AS is_true, 0 AS block FROM mentions WHERE a_coref
+UNION ALL SELECT id, 'B', true, 1 FROM mentions WHERE b_coref
+UNION ALL SELECT id, 'A', false, 0 FROM mentions WHERE b_coref
+UNION ALL SELECT id, 'B', false, 1 FROM mentions WHERE a_coref
+UNION ALL SELECT id, 'A', false, 2 FROM mentions WHERE NOT (a_coref OR b_coref)
+UNION ALL SELECT id, 'B', false, 3 FROM mentions WHERE NOT (a_coref OR b_coref)""")
+CONTRAST_SQL = [
+    ("cnt", _H3_SQL), ("h6", H6_SQL), PAIRS_SQL,
+    ("pstats", """
+SELECT p.id, p.cand, p.is_true, p.block, CAST(coalesce(s.l1, 0) AS BIGINT) AS l1,
+  CAST(coalesce(s.same, 0) AS BIGINT) AS same
+FROM pairs p LEFT JOIN (SELECT id, cand, sum(abs(diff)) AS l1, sum(prod) AS same FROM h6
+                        WHERE family = 'position' GROUP BY id, cand) s
+  ON s.id = p.id AND s.cand = p.cand"""),
+]
+
+
+def _position_interactions(cx):
+    pos = V.count_features(W.positional_window(cx.targets, cx.corpus.words), "position")
+    return V.pair_interactions(pos)
+
+
+def _pair_stats(spark, sf_dir):
+    cx = load_context(spark, sf_dir)
+    pairs = PR.pair_blocks(cx.corpus.mentions)
+    return pairs, _position_interactions(cx)
+
+
+@register("u5_pair_blocks", with_ctes("SELECT id, cand, is_true, block FROM pairs", [PAIRS_SQL]))
+def q_u5(spark, sf_dir):
+    from mentionkit.plans.fixture import load_corpus
+    return PR.pair_blocks(load_corpus(spark, sf_dir).mentions)
+
+
+@register("a4_a5_pair_class_statistics", with_ctes("""
+SELECT is_true, count(*) AS pairs, avg(l1) AS l1_mean, var_pop(l1) AS l1_var,
+  avg(same) AS same_mean, var_pop(same) AS same_var FROM pstats GROUP BY is_true""", CONTRAST_SQL))
+def q_a4_a5(spark, sf_dir):
+    pairs, inter = _pair_stats(spark, sf_dir)
+    return PR.class_statistics(PR.pair_statistics(pairs, inter))
+
+
+@register("j4_a6_true_vs_false_zip", with_ctes("""
+SELECT count(*) AS pairs_compared,
+  CAST(count(*) FILTER (WHERE t.l1 > f.l1) AS BIGINT) AS true_diff_larger,
+  CAST(count(*) FILTER (WHERE t.same > f.same) AS BIGINT) AS true_same_larger
+FROM (SELECT row_number() OVER (ORDER BY block, id) - 1 AS ord, l1, same FROM pstats WHERE is_true) t
+JOIN (SELECT row_number() OVER (ORDER BY block, id) - 1 AS ord, l1, same FROM pstats WHERE NOT is_true) f
+  ON t.ord = f.ord""", CONTRAST_SQL))
+def q_j4(spark, sf_dir):
+    pairs, inter = _pair_stats(spark, sf_dir)
+    return PR.zip_true_false(PR.pair_statistics(pairs, inter))
+
+
+_VOCAB_POS = ", ".join(f"('{t}')" for t in V.vocabulary("position"))
+A7_SQL = CONTRAST_SQL + [("a7", f"""
+SELECT v.is_true, v.feature, CAST(coalesce(s.abs_diff, 0) AS BIGINT) AS abs_diff,
+  CAST(coalesce(s.pos_diff, 0) AS BIGINT) AS pos_diff, CAST(coalesce(s.neg_diff, 0) AS BIGINT) AS neg_diff,
+  CAST(coalesce(s.same, 0) AS BIGINT) AS same
+FROM (SELECT feature, is_true FROM (VALUES {_VOCAB_POS}) vv(feature)
+      CROSS JOIN (SELECT unnest([true, false]) AS is_true)) v
+LEFT JOIN (SELECT p.is_true, h.feature, sum(abs(h.diff)) AS abs_diff, sum(greatest(h.diff, 0)) AS pos_diff,
+                  sum(greatest(-h.diff, 0)) AS neg_diff, sum(h.prod) AS same
+           FROM h6 h JOIN pairs p ON p.id = h.id AND p.cand = h.cand
+           WHERE h.family = 'position' GROUP BY p.is_true, h.feature) s
+  ON s.is_true = v.is_true AND s.feature = v.feature""")]
+
+
+def _contrast(spark, sf_dir):
+    pairs, inter = _pair_stats(spark, sf_dir)
+    return PR.feature_contrast(pairs, inter, V.vocabulary_table(spark, "position"))
+
+
+@register("a7_feature_contrast", with_ctes("SELECT * FROM a7", A7_SQL))
+def q_a7(spark, sf_dir):
+    return _contrast(spark, sf_dir)
+
+
+@register("t1_top_features", with_ctes("""
+SELECT is_true, score_kind, CAST(rank AS INTEGER) AS rank, feature, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY is_true, score_kind ORDER BY score DESC, feature ASC) AS rank
+  FROM (SELECT is_true, feature, 'abs_diff' AS score_kind, abs_diff AS score FROM a7
+        UNION ALL SELECT is_true, feature, 'pos_diff', pos_diff FROM a7
+        UNION ALL SELECT is_true, feature, 'neg_diff', neg_diff FROM a7
+        UNION ALL SELECT is_true, feature, 'same', same FROM a7)) WHERE rank <= 10""", A7_SQL))
+def q_t1(spark, sf_dir):
+    return PR.top_features(_contrast(spark, sf_dir))
