@@ -299,3 +299,4 @@ def q_t3(spark, sf_dir):
 
 # the other query families register into QUERIES / SQL on import
 from mentionkit.plans import catalog_features  # noqa: E402,F401
+from mentionkit.plans import catalog_scorers  # noqa: E402,F401
