@@ -22,6 +22,9 @@ def _tagged(words: DataFrame, kind: str) -> DataFrame:
 
 
 def _with_sizes(targets: DataFrame, words: DataFrame) -> DataFrame:
+    """Targets with ``n_words`` (carried by staged targets, else counted from ``words``)."""
+    if "n_words" in targets.columns:
+        return targets
     return targets.join(doc_sizes(words), "doc_id")
 
 

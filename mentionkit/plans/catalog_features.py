@@ -139,32 +139,32 @@ def q_j8(spark, sf_dir):
 @register("w1_tag_window", with_ctes(window_sql()))
 def q_w1(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return W.tag_window(cx.targets, cx.corpus.words)
+    return W.tag_window(cx.targets, cx.near_words)
 
 
 @register("w1_tag_window_xpos", with_ctes(window_sql(kind="XPOS")))
 def q_w1_xpos(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return W.tag_window(cx.targets, cx.corpus.words, kind="XPOS")
+    return W.tag_window(cx.targets, cx.near_words, kind="XPOS")
 
 
 @register("w2_tag_ngrams", with_ctes(ngram_sql()))
 def q_w2(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return W.tag_ngrams(cx.targets, cx.corpus.words)
+    return W.tag_ngrams(cx.targets, cx.near_words)
 
 
 @register("w3_positional_window", with_ctes(position_sql()))
 def q_w3(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return W.positional_window(cx.targets, cx.corpus.words)
+    return W.positional_window(cx.targets, cx.near_words)
 
 
 @register("h1_tag_counts", with_ctes(counts_sql("SELECT id, role, tag AS feature FROM (" + window_sql() + ")",
                                                 "normal")))
 def q_h1(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    bag = W.tag_window(cx.targets, cx.corpus.words).select("id", "role", F.col("tag").alias("feature"))
+    bag = W.tag_window(cx.targets, cx.near_words).select("id", "role", F.col("tag").alias("feature"))
     return V.count_features(bag, "normal")
 
 
@@ -172,33 +172,33 @@ def q_h1(spark, sf_dir):
                                                   "ngram")))
 def q_h2(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    bag = W.tag_ngrams(cx.targets, cx.corpus.words).select("id", "role", F.col("gram").alias("feature"))
+    bag = W.tag_ngrams(cx.targets, cx.near_words).select("id", "role", F.col("gram").alias("feature"))
     return V.count_features(bag, "ngram")
 
 
 @register("h3_position_counts", with_ctes(counts_sql(position_sql(), "position")))
 def q_h3(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return V.count_features(W.positional_window(cx.targets, cx.corpus.words), "position")
+    return V.count_features(W.positional_window(cx.targets, cx.near_words), "position")
 
 
 @register("h3_position_counts_n10", with_ctes(counts_sql(position_sql(n=10), "position")))
 def q_h3_n10(spark, sf_dir):
     """N=10 window against the +/-5 vocabulary: positions 6..10 drop out (OOV)."""
     cx = load_context(spark, sf_dir)
-    return V.count_features(W.positional_window(cx.targets, cx.corpus.words, n=10), "position")
+    return V.count_features(W.positional_window(cx.targets, cx.near_words, n=10), "position")
 
 
 @register("f1_dependency_bag", with_ctes(dependency_sql()))
 def q_f1(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return TR.dependency_bag(cx.targets, cx.corpus.words)
+    return TR.dependency_bag(cx.targets, cx.near_words)
 
 
 @register("f1_dependency_bag_xpos", with_ctes(dependency_sql("XPOS")))
 def q_f1_xpos(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return TR.dependency_bag(cx.targets, cx.corpus.words, kind="XPOS")
+    return TR.dependency_bag(cx.targets, cx.near_words, kind="XPOS")
 
 
 _DEP_BAG_SQL = "SELECT id, role, tag || '_' || relation AS feature FROM (" + dependency_sql() + ")"
@@ -207,7 +207,7 @@ _DEP_BAG_SQL = "SELECT id, role, tag || '_' || relation AS feature FROM (" + dep
 @register("h5_dependency_counts", with_ctes(counts_sql(_DEP_BAG_SQL, "dependency")))
 def q_h5(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    bag = TR.dependency_bag(cx.targets, cx.corpus.words).select(
+    bag = TR.dependency_bag(cx.targets, cx.near_words).select(
         "id", "role", F.concat_ws("_", "tag", "relation").alias("feature"))
     return V.count_features(bag, "dependency")
 
@@ -227,8 +227,8 @@ FULL OUTER JOIN (SELECT id, role AS cand, family, feature, cnt FROM cnt WHERE ro
 
 def feature_counts(cx):
     """H3 positional and H5 dependency counts of all targets (the model's sparse blocks)."""
-    pos = V.count_features(W.positional_window(cx.targets, cx.corpus.words), "position")
-    dep_bag = TR.dependency_bag(cx.targets, cx.corpus.words).select(
+    pos = V.count_features(W.positional_window(cx.targets, cx.near_words), "position")
+    dep_bag = TR.dependency_bag(cx.targets, cx.near_words).select(
         "id", "role", F.concat_ws("_", "tag", "relation").alias("feature"))
     return pos.unionByName(V.count_features(dep_bag, "dependency"))
 
@@ -266,7 +266,7 @@ WHERE p.role = 'P'"""),
 @register("f2_relational_features", with_ctes("SELECT * FROM f2", F2_SQL_CTES))
 def q_f2(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return TR.relational_features(cx.targets, cx.corpus.words)
+    return TR.relational_features(cx.targets, cx.near_words)
 
 
 @register("f3_same_sentence", with_ctes("""
@@ -275,7 +275,7 @@ FROM tw p JOIN tw a ON a.id = p.id AND a.role = 'A' JOIN tw b ON b.id = p.id AND
 WHERE p.role = 'P'"""))
 def q_f3(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return TR.same_sentence(cx.targets, cx.corpus.words)
+    return TR.same_sentence(cx.targets, cx.near_words)
 
 
 W6_SQL = f"""
@@ -289,7 +289,7 @@ JOIN pw ON pw.doc_id = x.doc_id"""
 @register("w6_scope_text", with_ctes(W6_SQL))
 def q_w6(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return W.scope_text(cx.targets, cx.corpus.words, cx.corpus.passages)
+    return W.scope_text(cx.targets, cx.near_words, cx.corpus.passages)
 
 
 W7_SQL = f"""
@@ -303,7 +303,7 @@ JOIN pw ON pw.doc_id = x.doc_id"""
 @register("w7_text_before_pronoun", with_ctes(W7_SQL))
 def q_w7(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return W.text_before_pronoun(cx.targets, cx.corpus.words, cx.corpus.passages)
+    return W.text_before_pronoun(cx.targets, cx.near_words, cx.corpus.passages)
 
 
 # ----------------------------------------------------- contrast statistics ---
@@ -328,7 +328,7 @@ FROM pairs p LEFT JOIN (SELECT id, cand, sum(abs(diff)) AS l1, sum(prod) AS same
 
 
 def _position_interactions(cx):
-    pos = V.count_features(W.positional_window(cx.targets, cx.corpus.words), "position")
+    pos = V.count_features(W.positional_window(cx.targets, cx.near_words), "position")
     return V.pair_interactions(pos)
 
 

@@ -77,15 +77,16 @@ FROM r4_scores f LEFT JOIN r3_scores s ON s.id = f.id""")]
 
 
 def _r3(cx):
-    return R.syntax_scores(cx.targets, cx.corpus.words)
+    return R.syntax_scores(cx.targets, cx.near_words)
 
 
 def _t2(cx):
+    # the scope spans whole sentence ranges: it reads all words, not the neighbourhood
     return R.top_predictions(R.scope_name_counts(cx.targets, cx.corpus.words))
 
 
 def _r4(cx):
-    return R.prefix_scores(cx.targets, cx.corpus.words, _t2(cx))
+    return R.prefix_scores(cx.targets, cx.near_words, _t2(cx))
 
 
 def _r5(cx):
@@ -95,7 +96,7 @@ def _r5(cx):
 @register("r3_syntax_points", with_ctes("SELECT * FROM pts", R3_SQL))
 def q_r3_points(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return R.syntax_points(cx.targets, cx.corpus.words)
+    return R.syntax_points(cx.targets, cx.near_words)
 
 
 @register("r3_syntax_scores", with_ctes("SELECT * FROM r3_scores", R3_SQL))
@@ -142,7 +143,7 @@ def q_r6(spark, sf_dir):
     """Pair probabilities = positional-window overlap / (2N+1), combined by R6."""
     from pyspark.sql import functions as F
     cx = load_context(spark, sf_dir)
-    f2 = TR.relational_features(cx.targets, cx.corpus.words)
+    f2 = TR.relational_features(cx.targets, cx.near_words)
     width = float(2 * S.DEFAULT_WINDOW + 1)
     pairs = f2.selectExpr("id", f"stack(2, 'A', overlap_a / double({width}), 'B', overlap_b / double({width}))"
                                 " as (cand, p)")
@@ -157,5 +158,5 @@ FROM (SELECT id, CAST(a_points AS DOUBLE) AS a_points, CAST(b_points AS DOUBLE)
              greatest(CAST(a_points AS DOUBLE), CAST(b_points AS DOUBLE), 0.0) AS m FROM pts)""", R3_SQL))
 def q_r7(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    pts = R.syntax_points(cx.targets, cx.corpus.words)
+    pts = R.syntax_points(cx.targets, cx.near_words)
     return R.softmax_pair(pts, "a_points", "b_points")

@@ -84,12 +84,41 @@ def load_corpus(spark: SparkSession, sf_dir: str, stage: bool = True) -> Corpus:
 
 @dataclass
 class Context:
+    """Corpus plus the aligned targets and the words around them.
+
+    ``near_words`` holds every word the target-centred operators read: the
+    sentences that contain a target (trees live inside a sentence) and a
+    +/-``NEAR_RADIUS`` word window around each target. Both are staged, so the
+    feature queries join a small table instead of all words of the corpus.
+    """
     corpus: Corpus
     targets: DataFrame
+    near_words: DataFrame
+
+
+NEAR_RADIUS = 12   # >= the widest window used (10) plus the n-gram length
+
+
+def neighbourhood_words(words: DataFrame, targets: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
+    tw = targets.select("doc_id", "wi").join(words.select("doc_id", "wi", "sent"), ["doc_id", "wi"])
+    by_sent = words.join(tw.select("doc_id", "sent").distinct(), ["doc_id", "sent"], "left_semi")
+    span = targets.select("doc_id", F.explode(F.sequence(
+        F.col("wi") - radius, F.col("wi") + F.greatest(F.col("target_len"), F.lit(1)) - 1 + radius)).alias("wi"))
+    by_pos = words.join(span.distinct(), ["doc_id", "wi"], "left_semi")
+    return by_sent.unionByName(by_pos).dropDuplicates(["doc_id", "wi"])
 
 
 def load_context(spark: SparkSession, sf_dir: str) -> Context:
-    """Corpus plus the aligned pronoun / A / B targets."""
+    """Corpus plus the aligned pronoun / A / B targets (J8), both staged."""
     from mentionkit.operators.align import targets_of
+    from mentionkit.operators.annotate import doc_sizes
     corpus = load_corpus(spark, sf_dir)
-    return Context(corpus, targets_of(corpus.mentions, corpus.words))
+    key = input_fingerprint(corpus.passages, "annotate-v1", "targets-v1")
+
+    def compute_targets():
+        return targets_of(corpus.mentions, corpus.words).join(doc_sizes(corpus.words), "doc_id")
+
+    targets = staged(spark, "targets", key, compute_targets, sort_by=["doc_id", "wi"])
+    near = staged(spark, "near_words", key, lambda: neighbourhood_words(corpus.words, targets),
+                  sort_by=["doc_id", "wi"])
+    return Context(corpus, targets, near)
