@@ -132,7 +132,7 @@ BLANK_CLASS = r"[ \t\r\n]"
 
 def nonblank_before(text="text", offset="a_offset", blank: str = BLANK_CLASS) -> Column:
     """Characters before ``offset`` that are not blank."""
-    return F.length(F.regexp_replace(F.substring(_c(text), F.lit(1), _c(offset)), blank, "")).cast("int")
+    return F.length(F.regexp_replace(F.substr(_c(text), F.lit(1), _c(offset)), blank, "")).cast("int")
 
 
 def nonblank_length(x, blank: str = BLANK_CLASS) -> Column:

@@ -346,7 +346,8 @@ def q_u5(spark, sf_dir):
 
 @register("a4_a5_pair_class_statistics", with_ctes("""
 SELECT is_true, count(*) AS pairs, avg(l1) AS l1_mean, var_pop(l1) AS l1_var,
-  avg(same) AS same_mean, var_pop(same) AS same_var FROM pstats GROUP BY is_true""", CONTRAST_SQL))
+  avg(same) AS same_mean, var_pop(same) AS same_var FROM pstats GROUP BY is_true""", CONTRAST_SQL),
+          doubles=["l1_mean", "l1_var", "same_mean", "same_var"])
 def q_a4_a5(spark, sf_dir):
     pairs, inter = _pair_stats(spark, sf_dir)
     return PR.class_statistics(PR.pair_statistics(pairs, inter))

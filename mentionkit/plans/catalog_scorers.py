@@ -6,11 +6,12 @@ from mentionkit import schema as S
 from mentionkit.operators import evaluate as E
 from mentionkit.operators import scorers as R
 from mentionkit.operators import tree as TR
-from mentionkit.plans.catalog import _eval_sql, _REPORT_SQL, register
+from mentionkit.plans.catalog import REPORT_DOUBLES, _eval_sql, _REPORT_SQL, register
 from mentionkit.plans.catalog_features import F2_SQL_CTES, position_sql
 from mentionkit.plans.fixture import load_context
 from mentionkit.plans.oracle import with_ctes
 
+P3 = ["p_a", "p_b", "p_neither"]
 U = S.UNDECIDED
 T = S.TIE
 TN = F2_SQL_CTES[0]
@@ -104,22 +105,23 @@ def q_r3(spark, sf_dir):
     return _r3(load_context(spark, sf_dir))
 
 
-@register("t2_top_predictions", with_ctes("SELECT * FROM t2", T2_SQL))
+@register("t2_top_predictions", with_ctes("SELECT * FROM t2", T2_SQL), doubles=["prob"])
 def q_t2(spark, sf_dir):
     return _t2(load_context(spark, sf_dir))
 
 
-@register("r4_prefix_scores", with_ctes("SELECT * FROM r4_scores", R4_SQL))
+@register("r4_prefix_scores", with_ctes("SELECT * FROM r4_scores", R4_SQL), doubles=P3)
 def q_r4(spark, sf_dir):
     return _r4(load_context(spark, sf_dir))
 
 
-@register("r5_cascade_scores", with_ctes("SELECT * FROM r5_scores", R5_SQL))
+@register("r5_cascade_scores", with_ctes("SELECT * FROM r5_scores", R5_SQL), doubles=P3)
 def q_r5(spark, sf_dir):
     return _r5(load_context(spark, sf_dir))
 
 
-@register("k7_report_cascade", with_ctes(_REPORT_SQL, R5_SQL + _eval_sql("r5_scores")))
+@register("k7_report_cascade", with_ctes(_REPORT_SQL, R5_SQL + _eval_sql("r5_scores")),
+          doubles=REPORT_DOUBLES)
 def q_k7_cascade(spark, sf_dir):
     cx = load_context(spark, sf_dir)
     return E.evaluation_report(E.truth_table(cx.corpus.mentions), _r5(cx))
@@ -138,7 +140,7 @@ def q_a12_cascade(spark, sf_dir):
 SELECT id, pa / (pa + pb + (1 - pa) * (1 - pb)) AS p_a, pb / (pa + pb + (1 - pa) * (1 - pb)) AS p_b,
   (1 - pa) * (1 - pb) / (pa + pb + (1 - pa) * (1 - pb)) AS p_neither
 FROM (SELECT id, overlap_a / {2 * S.DEFAULT_WINDOW + 1}.0 AS pa, overlap_b / {2 * S.DEFAULT_WINDOW + 1}.0 AS pb
-      FROM f2)""", F2_SQL_CTES))
+      FROM f2)""", F2_SQL_CTES), doubles=P3)
 def q_r6(spark, sf_dir):
     """Pair probabilities = positional-window overlap / (2N+1), combined by R6."""
     from pyspark.sql import functions as F
@@ -155,7 +157,8 @@ SELECT id, exp(a_points - m) / (exp(a_points - m) + exp(b_points - m) + exp(-m))
   exp(b_points - m) / (exp(a_points - m) + exp(b_points - m) + exp(-m)) AS p_b,
   exp(-m) / (exp(a_points - m) + exp(b_points - m) + exp(-m)) AS p_neither
 FROM (SELECT id, CAST(a_points AS DOUBLE) AS a_points, CAST(b_points AS DOUBLE) AS b_points,
-             greatest(CAST(a_points AS DOUBLE), CAST(b_points AS DOUBLE), 0.0) AS m FROM pts)""", R3_SQL))
+             greatest(CAST(a_points AS DOUBLE), CAST(b_points AS DOUBLE), 0.0) AS m FROM pts)""", R3_SQL),
+          doubles=P3)
 def q_r7(spark, sf_dir):
     cx = load_context(spark, sf_dir)
     pts = R.syntax_points(cx.targets, cx.near_words)
