@@ -326,3 +326,4 @@ from mentionkit.plans import catalog_features  # noqa: E402,F401
 from mentionkit.plans import catalog_scorers  # noqa: E402,F401
 from mentionkit.plans import catalog_embed  # noqa: E402,F401
 from mentionkit.plans import catalog_ml  # noqa: E402,F401
+from mentionkit.plans import catalog_io  # noqa: E402,F401
