@@ -26,7 +26,7 @@ def constant_scores(mentions: DataFrame, p: float = S.UNIFORM_P) -> DataFrame:
 # R2 -------------------------------------------------------------------------
 def name_gender_scores(mentions: DataFrame, cohort_source: DataFrame,
                        she: list[str] = S.SCORER_SHE, he: list[str] = S.SCORER_HE,
-                       lower: bool = False) -> DataFrame:
+                       lower: bool = False, keep: list | None = None) -> DataFrame:
     """A candidate seen as the true answer only with pronouns of this gender scores 1.0.
 
     The cohort is a dimension ``(name, gender)`` built from ``cohort_source`` (U1, U2);
@@ -35,16 +35,18 @@ def name_gender_scores(mentions: DataFrame, cohort_source: DataFrame,
     cohort = gender_cohorts(cohort_source, she, he, lower)
     g = (F.when(C.pronoun_in(she, lower=lower), "F")
          .when(C.pronoun_in(he, lower=lower), "M"))
-    m = mentions.select("id", "a", "b", g.alias("g"))
+    extra = keep or []
+    m = mentions.select("id", "a", "b", g.alias("g"), *extra)
+    kept = [c for c in m.columns if c not in ("id", "a", "b", "g")]
     ca = cohort.select(F.col("name").alias("a"), F.col("gender").alias("g"), F.lit(True).alias("a_hit"))
     cb = cohort.select(F.col("name").alias("b"), F.col("gender").alias("g"), F.lit(True).alias("b_hit"))
     hits = (m.join(ca, ["a", "g"], "left").join(cb, ["b", "g"], "left")
-            .select("id", F.coalesce("a_hit", F.lit(False)).alias("a_hit"),
+            .select("id", *kept, F.coalesce("a_hit", F.lit(False)).alias("a_hit"),
                     F.coalesce("b_hit", F.lit(False)).alias("b_hit")))
     any_hit = F.col("a_hit") | F.col("b_hit")
     u = F.lit(S.UNIFORM_P)
     return hits.select(
-        "id",
+        "id", *kept,
         F.when(any_hit, F.col("a_hit").cast("double")).otherwise(u).alias("p_a"),
         F.when(any_hit, F.col("b_hit").cast("double")).otherwise(u).alias("p_b"),
         F.when(any_hit, F.lit(0.0)).otherwise(u).alias("p_neither"))
