@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from mentionkit import schema as S
 
-WORD_COLUMNS = ["doc_id", "wi", "sent", "idx", "o", "lo", "nb", "word", "lemma",
+WORD_COLUMNS = ["doc_id", "wi", "sent", "idx", "o", "lo", "nb", "pb", "word", "lemma",
                 "upos", "xpos", "governor", "deprel"]
 
 
@@ -42,7 +42,8 @@ def tokenize_words(passages: DataFrame, pattern: str = S.TOKEN_PATTERN,
 
     ``o``  0-based code-point offset of the word,
     ``lo`` end of the previous word (the word "covers" ``[lo, o+len)``),
-    ``nb`` number of non-blank characters before the word.
+    ``nb`` number of non-blank characters before the word,
+    ``pb`` number of fixed-width word pieces before the word.
     """
     toks = _tokens(passages, pattern)
     w = Window.partitionBy("doc_id").orderBy("pos")
@@ -56,6 +57,8 @@ def tokenize_words(passages: DataFrame, pattern: str = S.TOKEN_PATTERN,
         o.cast("int").alias("o"),
         (o - lead_blank).cast("int").alias("lo"),
         F.coalesce(F.sum(F.when(is_word, tlen)).over(before), F.lit(0)).cast("int").alias("nb"),
+        F.coalesce(F.sum(F.when(is_word, F.ceil(tlen / S.PIECE_WIDTH))).over(before),
+                   F.lit(0)).cast("int").alias("pb"),
         F.coalesce(F.sum(is_word.cast("int")).over(before), F.lit(0)).cast("int").alias("wi"),
         F.coalesce(F.sum(F.col("tok").isin(*sentence_end).cast("int")).over(before),
                    F.lit(0)).cast("int").alias("sent"),
@@ -65,7 +68,7 @@ def tokenize_words(passages: DataFrame, pattern: str = S.TOKEN_PATTERN,
     return tok_rows.select(
         "doc_id", "wi", "sent",
         (F.col("wi") - F.coalesce(last_end, F.lit(-1))).cast("int").alias("idx"),
-        "o", "lo", "nb", "word")
+        "o", "lo", "nb", "pb", "word")
 
 
 def rule_tags(words: DataFrame, anchors: list[str] = S.ANCHORS_F + S.ANCHORS_M) -> DataFrame:

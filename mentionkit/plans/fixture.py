@@ -76,7 +76,7 @@ def load_corpus(spark: SparkSession, sf_dir: str, stage: bool = True) -> Corpus:
     if not stage:
         words = annotate(passages)
         return Corpus(passages, words, mention_fixture(words, passages))
-    key = input_fingerprint(passages, "annotate-v1")
+    key = input_fingerprint(passages, "annotate-v2")
     words = staged(spark, "words", key, lambda: annotate(passages), sort_by=["doc_id", "wi"])
     mentions = staged(spark, "mentions", key, lambda: mention_fixture(words, passages), sort_by=["id"])
     return Corpus(passages, words, mentions)
@@ -113,7 +113,7 @@ def load_context(spark: SparkSession, sf_dir: str) -> Context:
     from mentionkit.operators.align import targets_of
     from mentionkit.operators.annotate import doc_sizes
     corpus = load_corpus(spark, sf_dir)
-    key = input_fingerprint(corpus.passages, "annotate-v1", "targets-v1")
+    key = input_fingerprint(corpus.passages, "annotate-v2", "targets-v1")
 
     def compute_targets():
         return targets_of(corpus.mentions, corpus.words).join(doc_sizes(corpus.words), "doc_id")

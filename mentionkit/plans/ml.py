@@ -47,7 +47,7 @@ def staged_counts(cx) -> DataFrame:
     """The canonical long ``features`` table of a corpus context, staged once."""
     from mentionkit.sources.staging import input_fingerprint, staged
     spark = cx.targets.sparkSession
-    key = input_fingerprint(cx.corpus.passages, "annotate-v1", "targets-v1", "counts-v1")
+    key = input_fingerprint(cx.corpus.passages, "annotate-v2", "targets-v1", "counts-v1")
     return staged(spark, "features", key, lambda: long_counts(cx.targets, cx.near_words),
                   sort_by=["id", "role"])
 

@@ -16,15 +16,16 @@ def spark():
 
 def make_words(spark, rows, doc_id=1):
     """Hand-built words: rows of (word, upos, xpos, idx, governor, deprel); sentences by idx == 1."""
-    out, o, nb, sent = [], 0, 0, -1
+    out, o, nb, pb, sent = [], 0, 0, 0, -1
     for wi, (word, upos, xpos, idx, gov, dep) in enumerate(rows):
         if idx == 1:
             sent += 1
         lo = o if wi == 0 else o - 1
-        out.append((doc_id, wi, sent, idx, o, lo, nb, word, word.lower(), upos, xpos, gov, dep))
+        out.append((doc_id, wi, sent, idx, o, lo, nb, pb, word, word.lower(), upos, xpos, gov, dep))
         o += len(word) + 1
         nb += len(word)
-    return spark.createDataFrame(out, "doc_id long, wi int, sent int, idx int, o int, lo int, nb int, "
+        pb += -(-len(word) // 4)
+    return spark.createDataFrame(out, "doc_id long, wi int, sent int, idx int, o int, lo int, nb int, pb int, "
                                       "word string, lemma string, upos string, xpos string, governor int, "
                                       "deprel string")
 
