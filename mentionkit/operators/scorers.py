@@ -213,8 +213,27 @@ def softmax_pair(scores: DataFrame, a: str = "s_a", b: str = "s_b") -> DataFrame
 
 
 # G1 -------------------------------------------------------------------------
+def _name_gender(mentions: DataFrame) -> DataFrame:
+    return name_gender_scores(mentions, mentions)
+
+
+def context_scorer(kind: str, words: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A ``targets -> predictions`` scorer over a words table (syntax, prefix or cascade)."""
+    def syntax(targets):
+        return syntax_scores(targets, words)
+
+    def prefix(targets):
+        return prefix_scores(targets, words, top_predictions(scope_name_counts(targets, words)))
+
+    def both(targets):
+        return cascade(prefix(targets), syntax(targets))
+
+    return {"syntax": syntax, "prefix": prefix, "cascade": both}[kind]
+
+
 SCORERS: dict[str, Callable[..., DataFrame]] = {
     "constant": constant_scores,
+    "name_gender": _name_gender,
 }
 
 

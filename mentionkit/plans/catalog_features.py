@@ -226,11 +226,9 @@ FULL OUTER JOIN (SELECT id, role AS cand, family, feature, cnt FROM cnt WHERE ro
 
 
 def feature_counts(cx):
-    """H3 positional and H5 dependency counts of all targets (the model's sparse blocks)."""
-    pos = V.count_features(W.positional_window(cx.targets, cx.near_words), "position")
-    dep_bag = TR.dependency_bag(cx.targets, cx.near_words).select(
-        "id", "role", F.concat_ws("_", "tag", "relation").alias("feature"))
-    return pos.unionByName(V.count_features(dep_bag, "dependency"))
+    """H3 positional and H5 dependency counts of all targets: the staged ``features`` table."""
+    from mentionkit.plans.ml import staged_counts
+    return staged_counts(cx)
 
 
 @register("h6_pair_interactions", with_ctes(H6_SQL, [("cnt", f"{_H3_SQL} UNION ALL {_H5_SQL}")]))
@@ -328,8 +326,7 @@ FROM pairs p LEFT JOIN (SELECT id, cand, sum(abs(diff)) AS l1, sum(prod) AS same
 
 
 def _position_interactions(cx):
-    pos = V.count_features(W.positional_window(cx.targets, cx.near_words), "position")
-    return V.pair_interactions(pos)
+    return V.pair_interactions(feature_counts(cx).where(F.col("family") == "position"))
 
 
 def _pair_stats(spark, sf_dir):
@@ -398,3 +395,24 @@ SELECT is_true, score_kind, CAST(rank AS INTEGER) AS rank, feature, score FROM (
         UNION ALL SELECT is_true, feature, 'same', same FROM a7)) WHERE rank <= 10""", A7_SQL))
 def q_t1(spark, sf_dir):
     return PR.top_features(_contrast(spark, sf_dir))
+
+
+@register("a17_bag_overlap", with_ctes("SELECT id, cand, overlap FROM ov", F2_SQL_CTES[:3]))
+def q_a17(spark, sf_dir):
+    """Set overlap of the pronoun's and each candidate's positional bags."""
+    cx = load_context(spark, sf_dir)
+    return TR.bag_overlap(W.positional_window(cx.targets, cx.near_words))
+
+
+@register("h4_upos_position_counts", with_ctes(counts_sql(position_sql(kind="UPOS"), "position", "UPOS")))
+def q_h4(spark, sf_dir):
+    """H4: the UPOS positional vocabulary, whatever tag kind the other families use."""
+    cx = load_context(spark, sf_dir)
+    return V.count_features(W.positional_window(cx.targets, cx.near_words, kind="UPOS"), "position", "UPOS")
+
+
+@register("w3_positional_window_deprel", with_ctes(position_sql(kind="DEPENDENCY")))
+def q_w3_dep(spark, sf_dir):
+    """P12's third selector: the relation before ':' as the tag."""
+    cx = load_context(spark, sf_dir)
+    return W.positional_window(cx.targets, cx.near_words, kind="DEPENDENCY")

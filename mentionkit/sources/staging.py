@@ -45,11 +45,8 @@ def staged(spark: SparkSession, name: str, key: str, compute: Callable[[], DataF
            sort_by: list[str] | None = None) -> DataFrame:
     """Read ``<checkpoint>/staged/<name>-<key>`` if present, else compute, write and read it."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/staged/{name}-{key}"
-    try:
+    if _committed(spark, path):
         return spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
-            raise
     df = compute()
     if sort_by:
         df = df.sortWithinPartitions(*sort_by)
@@ -57,6 +54,19 @@ def staged(spark: SparkSession, name: str, key: str, compute: Callable[[], DataF
     return spark.read.parquet(path)
 
 
+def _committed(spark: SparkSession, path: str) -> bool:
+    """True when a previous write of ``path`` finished (its ``_SUCCESS`` marker exists).
+
+    A job that died mid-write leaves no marker, so the table is recomputed and
+    overwritten instead of being read half-written.
+    """
+    try:
+        spark.read.text(f"{path}/_SUCCESS")
+        return True
+    except AnalysisException:
+        return False
+
+
 def save_model(model, path: str) -> None:
     """Persist a fitted ``PipelineModel`` (overwrite)."""
     model.write().overwrite().save(path)
