@@ -13,3 +13,14 @@ Long-form tables are canonical:
 """
 
 __all__ = ["schema", "session"]
+
+# Functions of this package that run inside Python workers (plug-in wrappers,
+# the stand-in models) are shipped by value, so executors need no installed copy.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass
