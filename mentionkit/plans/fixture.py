@@ -122,3 +122,38 @@ def load_context(spark: SparkSession, sf_dir: str) -> Context:
     near = staged(spark, "near_words", key, lambda: neighbourhood_words(corpus.words, targets),
                   sort_by=["doc_id", "wi"])
     return Context(corpus, targets, near)
+
+
+def corpus_from_mentions(spark: SparkSession, mentions: DataFrame, stage_key: str | None = None) -> Corpus:
+    """A corpus for a labelled mention table (e.g. read from TSV): passages are the distinct
+    texts (``doc_id`` = text hash; partial aggregation collapses copies before the shuffle)."""
+    passages = mentions.select("doc_id", "text").dropDuplicates(["doc_id"])
+    if stage_key is None:
+        return Corpus(passages, annotate(passages), mentions)
+    words = staged(spark, "words", stage_key, lambda: annotate(passages), sort_by=["doc_id", "wi"])
+    return Corpus(passages, words, mentions)
+
+
+def context_from_corpus(corpus: Corpus, stage_key: str | None = None) -> Context:
+    from mentionkit.operators.align import targets_of
+    from mentionkit.operators.annotate import doc_sizes
+    spark = corpus.words.sparkSession
+
+    def compute_targets():
+        return targets_of(corpus.mentions, corpus.words).join(doc_sizes(corpus.words), "doc_id")
+
+    if stage_key is None:
+        targets = compute_targets()
+        return Context(corpus, targets, neighbourhood_words(corpus.words, targets))
+    targets = staged(spark, "targets", stage_key, compute_targets, sort_by=["doc_id", "wi"])
+    near = staged(spark, "near_words", stage_key, lambda: neighbourhood_words(corpus.words, targets),
+                  sort_by=["doc_id", "wi"])
+    return Context(corpus, targets, near)
+
+
+def load_tsv_context(spark: SparkSession, path: str) -> Context:
+    """S1 + K5 + J8 for a mention TSV, staged under the TSV's fingerprint."""
+    from mentionkit.sources.tsv import read_mentions
+    mentions = read_mentions(spark, path)
+    key = input_fingerprint(mentions, "tsv-annotate-v2", "targets-v1")
+    return context_from_corpus(corpus_from_mentions(spark, mentions, key), key)

@@ -14,14 +14,23 @@ from pyspark.sql import functions as F
 from mentionkit import schema as S
 
 
-def read_mentions(spark: SparkSession, path: str, with_url: bool = True) -> DataFrame:
-    """``(id, doc_id, text, pronoun, ...)``; ``doc_id`` keys the distinct passage text."""
+def read_mentions(spark: SparkSession, path: str, with_url: bool | None = None) -> DataFrame:
+    """``(id, doc_id, text, pronoun, ...)``; ``doc_id`` keys the distinct passage text.
+
+    The columns present are taken from the header (as the task's reader does); their
+    types are the declared ones, unknown columns are strings.
+    """
     from pyspark.sql import types as T
-    fields = S.MENTION_SCHEMA.fields if with_url else S.MENTION_SCHEMA.fields[:-1]
+    header = (spark.read.option("sep", "\t").option("header", True).option("multiLine", True)
+              .option("escape", '"').csv(path).columns)
+    declared = {f.name: f for f in S.MENTION_SCHEMA.fields}
+    fields = [declared.get(c, T.StructField(c, T.StringType(), True)) for c in header]
+    if with_url is False:
+        fields = [f for f in fields if f.name != "URL"] if "URL" not in header else fields
     df = (spark.read.schema(T.StructType(fields)).option("sep", "\t").option("header", True)
           .option("multiLine", True).option("quote", '"').option("escape", '"')
           .option("mode", "FAILFAST").csv(path))
-    df = df.select(*[F.col(f"`{c}`").alias(S.MENTION_RENAMES[c]) for c in df.columns])
+    df = df.select(*[F.col(f"`{c}`").alias(S.MENTION_RENAMES.get(c, c)) for c in df.columns])
     return df.withColumn("doc_id", F.xxhash64("text"))
 
 
