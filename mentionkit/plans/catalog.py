@@ -201,7 +201,8 @@ def q_p9(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- scorers ---
-_UNIFORM_SQL = f"SELECT id, {S.UNIFORM_P} AS p_a, {S.UNIFORM_P} AS p_b, {S.UNIFORM_P} AS p_neither FROM mentions"
+_U = f"CAST({S.UNIFORM_P} AS DOUBLE)"
+_UNIFORM_SQL = f"SELECT id, {_U} AS p_a, {_U} AS p_b, {_U} AS p_neither FROM mentions"
 
 
 @register("r1_constant_scores", with_ctes(_UNIFORM_SQL))
@@ -219,9 +220,9 @@ LEFT JOIN cohort ca ON ca.name = m.a AND ca.gender = m.g
 LEFT JOIN cohort cb ON cb.name = m.b AND cb.gender = m.g"""),
     ("r2_scores", f"""
 SELECT id,
-  CASE WHEN a_hit OR b_hit THEN CAST(a_hit AS DOUBLE) ELSE {S.UNIFORM_P} END AS p_a,
-  CASE WHEN a_hit OR b_hit THEN CAST(b_hit AS DOUBLE) ELSE {S.UNIFORM_P} END AS p_b,
-  CASE WHEN a_hit OR b_hit THEN 0.0 ELSE {S.UNIFORM_P} END AS p_neither
+  CASE WHEN a_hit OR b_hit THEN CAST(a_hit AS DOUBLE) ELSE {_U} END AS p_a,
+  CASE WHEN a_hit OR b_hit THEN CAST(b_hit AS DOUBLE) ELSE {_U} END AS p_b,
+  CASE WHEN a_hit OR b_hit THEN CAST(0.0 AS DOUBLE) ELSE {_U} END AS p_neither
 FROM r2"""),
 ]
 

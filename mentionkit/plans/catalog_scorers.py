@@ -35,12 +35,12 @@ FROM tn p JOIN tn a ON a.id = p.id AND a.role = 'A' JOIN tn b ON b.id = p.id AND
 LEFT JOIN ov1 oa ON oa.id = p.id AND oa.cand = 'A' LEFT JOIN ov1 ob ON ob.id = p.id AND ob.cand = 'B'
 WHERE p.role = 'P'"""), ("r3_scores", f"""
 SELECT id,
-  CASE WHEN a_points < 4 AND b_points < 4 THEN {U[0]} WHEN a_points > b_points THEN 1.0
-       WHEN a_points < b_points THEN 0.0 ELSE {T[0]} END AS p_a,
-  CASE WHEN a_points < 4 AND b_points < 4 THEN {U[1]} WHEN a_points > b_points THEN 0.0
-       WHEN a_points < b_points THEN 1.0 ELSE {T[1]} END AS p_b,
-  CASE WHEN a_points < 4 AND b_points < 4 THEN {U[2]} WHEN a_points > b_points THEN 0.0
-       WHEN a_points < b_points THEN 0.0 ELSE {T[2]} END AS p_neither
+  CAST(CASE WHEN a_points < 4 AND b_points < 4 THEN {U[0]} WHEN a_points > b_points THEN 1.0
+       WHEN a_points < b_points THEN 0.0 ELSE {T[0]} END AS DOUBLE) AS p_a,
+  CAST(CASE WHEN a_points < 4 AND b_points < 4 THEN {U[1]} WHEN a_points > b_points THEN 0.0
+       WHEN a_points < b_points THEN 1.0 ELSE {T[1]} END AS DOUBLE) AS p_b,
+  CAST(CASE WHEN a_points < 4 AND b_points < 4 THEN {U[2]} WHEN a_points > b_points THEN 0.0
+       WHEN a_points < b_points THEN 0.0 ELSE {T[2]} END AS DOUBLE) AS p_neither
 FROM pts""")]
 
 T2_SQL = [("sc", """SELECT id, doc_id, min(sent) AS lo_sent, max(sent) AS hi_sent FROM tw GROUP BY id, doc_id"""),
@@ -64,9 +64,9 @@ SELECT i.id, coalesce(a.rate, 0.0) AS ra, coalesce(b.rate, 0.0) AS rb
 FROM (SELECT DISTINCT id FROM targets) i
 LEFT JOIN r4m a ON a.id = i.id AND a.role = 'A' LEFT JOIN r4m b ON b.id = i.id AND b.role = 'B'"""),
     ("r4_scores", f"""
-SELECT id, CASE WHEN ra = 0 AND rb = 0 THEN {U[0]} ELSE ra / (ra + rb) END AS p_a,
-  CASE WHEN ra = 0 AND rb = 0 THEN {U[1]} ELSE rb / (ra + rb) END AS p_b,
-  CASE WHEN ra = 0 AND rb = 0 THEN {U[2]} ELSE 0.0 END AS p_neither FROM r4""")]
+SELECT id, CAST(CASE WHEN ra = 0 AND rb = 0 THEN {U[0]} ELSE ra / (ra + rb) END AS DOUBLE) AS p_a,
+  CAST(CASE WHEN ra = 0 AND rb = 0 THEN {U[1]} ELSE rb / (ra + rb) END AS DOUBLE) AS p_b,
+  CAST(CASE WHEN ra = 0 AND rb = 0 THEN {U[2]} ELSE 0.0 END AS DOUBLE) AS p_neither FROM r4""")]
 
 R5_SQL = R3_SQL + R4_SQL + [("r5_scores", """
 SELECT f.id,
