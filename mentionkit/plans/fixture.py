@@ -100,7 +100,10 @@ NEAR_RADIUS = 12   # >= the widest window used (10) plus the n-gram length
 
 
 def neighbourhood_words(words: DataFrame, targets: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
-    tw = targets.select("doc_id", "wi").join(words.select("doc_id", "wi", "sent"), ["doc_id", "wi"])
+    if "sent" in targets.columns:     # staged targets carry their sentence
+        tw = targets.select("doc_id", "sent")
+    else:
+        tw = targets.select("doc_id", "wi").join(words.select("doc_id", "wi", "sent"), ["doc_id", "wi"])
     by_sent = words.join(tw.select("doc_id", "sent").distinct(), ["doc_id", "sent"], "left_semi")
     span = targets.select("doc_id", F.explode(F.sequence(
         F.col("wi") - radius, F.col("wi") + F.greatest(F.col("target_len"), F.lit(1)) - 1 + radius)).alias("wi"))
@@ -113,15 +116,16 @@ def load_context(spark: SparkSession, sf_dir: str) -> Context:
     from mentionkit.operators.align import targets_of
     from mentionkit.operators.annotate import doc_sizes
     corpus = load_corpus(spark, sf_dir)
-    key = input_fingerprint(corpus.passages, "annotate-v2", "targets-v1")
+    key = input_fingerprint(corpus.passages, "annotate-v2", "targets-v2")
 
     def compute_targets():
-        return targets_of(corpus.mentions, corpus.words).join(doc_sizes(corpus.words), "doc_id")
+        t = targets_of(corpus.mentions, corpus.words).join(doc_sizes(corpus.words), "doc_id")
+        return t.join(corpus.words.select("doc_id", "wi", "sent"), ["doc_id", "wi"], "left")
 
     targets = staged(spark, "targets", key, compute_targets, sort_by=["doc_id", "wi"])
     near = staged(spark, "near_words", key, lambda: neighbourhood_words(corpus.words, targets),
                   sort_by=["doc_id", "wi"])
-    return Context(corpus, targets, near)
+    return Context(corpus, targets.drop("sent"), near)
 
 
 def corpus_from_mentions(spark: SparkSession, mentions: DataFrame, stage_key: str | None = None) -> Corpus:
@@ -140,20 +144,21 @@ def context_from_corpus(corpus: Corpus, stage_key: str | None = None) -> Context
     spark = corpus.words.sparkSession
 
     def compute_targets():
-        return targets_of(corpus.mentions, corpus.words).join(doc_sizes(corpus.words), "doc_id")
+        t = targets_of(corpus.mentions, corpus.words).join(doc_sizes(corpus.words), "doc_id")
+        return t.join(corpus.words.select("doc_id", "wi", "sent"), ["doc_id", "wi"], "left")
 
     if stage_key is None:
         targets = compute_targets()
-        return Context(corpus, targets, neighbourhood_words(corpus.words, targets))
+        return Context(corpus, targets.drop("sent"), neighbourhood_words(corpus.words, targets))
     targets = staged(spark, "targets", stage_key, compute_targets, sort_by=["doc_id", "wi"])
     near = staged(spark, "near_words", stage_key, lambda: neighbourhood_words(corpus.words, targets),
                   sort_by=["doc_id", "wi"])
-    return Context(corpus, targets, near)
+    return Context(corpus, targets.drop("sent"), near)
 
 
 def load_tsv_context(spark: SparkSession, path: str) -> Context:
     """S1 + K5 + J8 for a mention TSV, staged under the TSV's fingerprint."""
     from mentionkit.sources.tsv import read_mentions
     mentions = read_mentions(spark, path)
-    key = input_fingerprint(mentions, "tsv-annotate-v2", "targets-v1")
+    key = input_fingerprint(mentions, "tsv-annotate-v2", "targets-v2")
     return context_from_corpus(corpus_from_mentions(spark, mentions, key), key)
