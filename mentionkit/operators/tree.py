@@ -35,7 +35,13 @@ def _children_of(parents: DataFrame, nodes: DataFrame, psent: str, pidx: str) ->
 
 
 def dependency_bag(targets: DataFrame, words: DataFrame, kind: str = "UPOS") -> DataFrame:
-    """``(id, role, relation, tag)`` -- governor, ancestor, sibling, sibling_child, child, grandchild."""
+    """``(id, role, relation, tag)`` -- governor, ancestor, sibling, sibling_child, child, grandchild.
+
+    Five joins: target node, parent, grandparent (all on ``(doc_id, wi)``), then the
+    children of {target, parent} in one join and the children of those children in a
+    second one (both on ``(doc_id, sent, governor)``); the relation name travels with
+    each lookup request instead of being a separate branch.
+    """
     nodes = _node(words_for(words, targets), kind)
     by_wi = nodes.select("doc_id", "wi", "sent", "idx", "governor", "tag")
     t = (targets.select("id", "role", "doc_id", "wi")
@@ -58,23 +64,23 @@ def dependency_bag(targets: DataFrame, words: DataFrame, kind: str = "UPOS") ->
     anc_rows = anc.select("id", "role", F.lit("ancestor").alias("relation"),
                           F.coalesce("a_tag", F.lit(S.NONE_TAG)).alias("tag"))
 
-    # siblings (J7 on the governor) minus the target itself, and their children
-    sib = _children_of(par.select("id", "role", "doc_id", "wi", "p_sent", "p_idx"), nodes,
-                       "p_sent", "p_idx").where(F.col("c_wi") != F.col("wi"))
-    sib_rows = sib.select("id", "role", F.lit("sibling").alias("relation"), F.col("c_tag").alias("tag"))
-    sib2 = sib.select("id", "role", "doc_id", F.col("c_sent").alias("s_sent"), F.col("c_idx").alias("s_idx"))
-    sibc_rows = _children_of(sib2, nodes, "s_sent", "s_idx").select(
-        "id", "role", F.lit("sibling_child").alias("relation"), F.col("c_tag").alias("tag"))
-
-    # children and grandchildren of the target
-    ch = _children_of(t.select("id", "role", "doc_id", "t_sent", "t_idx"), nodes, "t_sent", "t_idx")
-    ch_rows = ch.select("id", "role", F.lit("child").alias("relation"), F.col("c_tag").alias("tag"))
-    ch2 = ch.select("id", "role", "doc_id", F.col("c_sent").alias("g_sent"), F.col("c_idx").alias("g_idx"))
-    gc_rows = _children_of(ch2, nodes, "g_sent", "g_idx").select(
-        "id", "role", F.lit("grandchild").alias("relation"), F.col("c_tag").alias("tag"))
-
-    return (gov_rows.unionByName(anc_rows).unionByName(sib_rows).unionByName(sibc_rows)
-            .unionByName(ch_rows).unionByName(gc_rows))
+    # level 1 (J7): children of the target ("child") and of its governor ("sibling", minus itself)
+    asks = (t.select("id", "role", "doc_id", "wi", F.col("t_sent").alias("q_sent"),
+                     F.col("t_idx").alias("q_idx"), F.lit("child").alias("relation"))
+            .unionByName(par.select("id", "role", "doc_id", "wi", F.col("p_sent").alias("q_sent"),
+                                    F.col("p_idx").alias("q_idx"), F.lit("sibling").alias("relation"))))
+    lvl1 = _children_of(asks, nodes, "q_sent", "q_idx").where(
+        (F.col("relation") == "child") | (F.col("c_wi") != F.col("wi")))
+    lvl1_rows = lvl1.select("id", "role", "relation", F.col("c_tag").alias("tag"))
+
+    # level 2: their children -- grandchildren and siblings' children
+    asks2 = lvl1.select("id", "role", "doc_id", F.col("c_sent").alias("q_sent"), F.col("c_idx").alias("q_idx"),
+                        F.when(F.col("relation") == "child", "grandchild").otherwise("sibling_child")
+                        .alias("relation"))
+    lvl2_rows = _children_of(asks2, nodes, "q_sent", "q_idx").select(
+        "id", "role", "relation", F.col("c_tag").alias("tag"))
+
+    return gov_rows.unionByName(anc_rows).unionByName(lvl1_rows).unionByName(lvl2_rows)
 
 
 def target_nodes(targets: DataFrame, words: DataFrame) -> DataFrame:
