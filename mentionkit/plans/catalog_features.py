@@ -416,3 +416,23 @@ def q_w3_dep(spark, sf_dir):
     """P12's third selector: the relation before ':' as the tag."""
     cx = load_context(spark, sf_dir)
     return W.positional_window(cx.targets, cx.near_words, kind="DEPENDENCY")
+
+
+@register("h1_tag_counts_xpos", with_ctes(counts_sql(
+    "SELECT id, role, tag AS feature FROM (" + window_sql(kind="XPOS") + ")", "normal", "XPOS")))
+def q_h1_xpos(spark, sf_dir):
+    """H1 under the XPOS tag set (36-term vocabulary)."""
+    cx = load_context(spark, sf_dir)
+    bag = W.tag_window(cx.targets, cx.near_words, kind="XPOS").select("id", "role", F.col("tag").alias("feature"))
+    return V.count_features(bag, "normal", "XPOS")
+
+
+@register("h5_dependency_counts_xpos", with_ctes(counts_sql(
+    "SELECT id, role, tag || '_' || relation AS feature FROM (" + dependency_sql("XPOS") + ")",
+    "dependency", "XPOS")))
+def q_h5_xpos(spark, sf_dir):
+    """H5 under the XPOS tag set."""
+    cx = load_context(spark, sf_dir)
+    bag = TR.dependency_bag(cx.targets, cx.near_words, kind="XPOS").select(
+        "id", "role", F.concat_ws("_", "tag", "relation").alias("feature"))
+    return V.count_features(bag, "dependency", "XPOS")
