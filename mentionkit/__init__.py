@@ -4,10 +4,10 @@ Long-form tables are canonical:
 
 * ``mentions(id, doc_id, text, pronoun, pronoun_offset, a, a_offset, a_coref,
   b, b_offset, b_coref)`` -- one row per labelled mention;
-* ``words(doc_id, wi, sent, idx, o, lo, nb, word, lemma, upos, xpos,
+* ``words(doc_id, wi, sent, idx, o, lo, nb, pb, word, lemma, upos, xpos,
   governor, deprel)`` -- one row per annotated word of a passage;
-* ``targets(id, doc_id, role, wi, target_len, target)`` -- the pronoun, A and B
-  of each mention aligned to a word;
+* ``targets(id, doc_id, role, off, target, target_len, wi, n_words)`` -- the
+  pronoun, A and B of each mention aligned to a word;
 * ``features(id, role, family, feature, cnt)`` -- sparse feature counts;
 * ``predictions(id, p_a, p_b, p_neither)``.
 """
