@@ -24,7 +24,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mentionkit.session import checkpoint_dir
 
-STAGING_VERSION = "1"
+def _code_version() -> str:
+    """Hash of this package's source: any code change gives staged tables a new key."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for dirpath, _, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(dirpath, f), "rb") as fh:
+                    h.update(f.encode())
+                    h.update(fh.read())
+    return h.hexdigest()[:12]
+
+
+STAGING_VERSION = _code_version()
 
 
 def input_fingerprint(df: DataFrame, *extra: str) -> str:
