@@ -436,3 +436,12 @@ def q_h5_xpos(spark, sf_dir):
     bag = TR.dependency_bag(cx.targets, cx.near_words, kind="XPOS").select(
         "id", "role", F.concat_ws("_", "tag", "relation").alias("feature"))
     return V.count_features(bag, "dependency", "XPOS")
+
+
+@register("h2_ngram_counts_xpos", with_ctes(counts_sql(
+    "SELECT id, role, gram AS feature FROM (" + ngram_sql(kind="XPOS") + ")", "ngram", "XPOS")))
+def q_h2_xpos(spark, sf_dir):
+    """H2 under the XPOS tag set (explicit product vocabulary of word-only tags)."""
+    cx = load_context(spark, sf_dir)
+    bag = W.tag_ngrams(cx.targets, cx.near_words, kind="XPOS").select("id", "role", F.col("gram").alias("feature"))
+    return V.count_features(bag, "ngram", "XPOS")
