@@ -163,3 +163,10 @@ def q_r7(spark, sf_dir):
     cx = load_context(spark, sf_dir)
     pts = R.syntax_points(cx.targets, cx.near_words)
     return R.softmax_pair(pts, "a_points", "b_points")
+
+
+@register("k7_report_syntax", with_ctes(_REPORT_SQL, R3_SQL + _eval_sql("r3_scores")), doubles=REPORT_DOUBLES)
+def q_k7_syntax(spark, sf_dir):
+    """K7 over the syntax-points scorer alone."""
+    cx = load_context(spark, sf_dir)
+    return E.evaluation_report(E.truth_table(cx.corpus.mentions), _r3(cx))

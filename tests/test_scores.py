@@ -52,3 +52,16 @@ def test_report_invariants(spark):
     assert len(cm) == 9 and sum(r["n"] for r in cm) == n
     preds = QUERIES["r5_cascade_scores"](spark, SF).collect()
     assert all(abs(r["p_a"] + r["p_b"] + r["p_neither"] - 1) < 1e-9 for r in preds)
+
+
+def test_context_scorers_match_registered_queries(spark):
+    from mentionkit.plans.fixture import load_context
+    cx = load_context(spark, SF)
+
+    def as_dict(df):
+        return {r["id"]: (round(r["p_a"], 9), round(r["p_b"], 9), round(r["p_neither"], 9)) for r in df.collect()}
+
+    assert as_dict(R.context_scorer("syntax", cx.near_words)(cx.targets)) == as_dict(
+        QUERIES["r3_syntax_scores"](spark, SF))
+    assert as_dict(R.context_scorer("cascade", cx.corpus.words)(cx.targets)) == as_dict(
+        QUERIES["r5_cascade_scores"](spark, SF))
