@@ -46,3 +46,12 @@ def test_phrase_search_counts(spark):
     lem = phrase_lemmas(ph)
     got = {r["id"]: r["n_hits"] for r in hit_summary(lem, phrase_hits(lem, words)).collect()}
     assert got == {1: 3, 2: 2, 3: 1, 4: 0}
+
+
+def test_phrase_search_uses_first_sentence_of_phrase(spark):
+    words = annotate(_passage(spark, "Ann left. Bob came. Ann left. Ann stayed."))
+    ph = spark.createDataFrame([(1, 1, "Ann left. Bob"), (2, 1, "ann")], "id long, doc_id long, phrase string")
+    lem = phrase_lemmas(ph)
+    assert {r["id"]: r["lemmas"] for r in lem.collect()} == {1: ["ann", "left", "."], 2: ["ann"]}
+    got = {r["id"]: (r["n_hits"], r["first_hit"]) for r in hit_summary(lem, phrase_hits(lem, words)).collect()}
+    assert got == {1: (2, 0), 2: (3, 0)}
