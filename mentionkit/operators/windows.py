@@ -74,6 +74,11 @@ def passage_words(passages: DataFrame) -> DataFrame:
     return passages.select("doc_id", F.filter(toks, lambda t: ~t.rlike(S.BLANK_START)).alias("warr"))
 
 
+def _target_passages(passages: DataFrame, targets: DataFrame) -> DataFrame:
+    """Only passages that hold a target are re-tokenised for text spans."""
+    return passages.join(targets.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def _pivot_targets(targets: DataFrame, words: DataFrame) -> DataFrame:
     tw = targets.join(words.select("doc_id", "wi", "sent", "idx", "governor"), ["doc_id", "wi"])
     return tw.groupBy("id", "doc_id").agg(
@@ -94,7 +99,7 @@ def scope_text(targets: DataFrame, words: DataFrame, passages: DataFrame,
          .join(first, ["doc_id", "lo_sent"]).join(last, ["doc_id", "hi_sent"]))
     if not from_scope_start:
         x = x.withColumn("start", F.lit(0))
-    x = x.join(passage_words(passages), "doc_id")
+    x = x.join(passage_words(_target_passages(passages, targets)), "doc_id")
     return x.select("id", C.detokenize(F.slice("warr", F.col("start") + 1,
                                                F.col("end") - F.col("start") + 1)).alias("scope"))
 
@@ -105,6 +110,7 @@ def text_before_pronoun(targets: DataFrame, words: DataFrame, passages: DataFram
     sent_start = F.col("p_wi") - F.col("p_idx") + 1
     gov_wi = F.col("p_wi") + F.col("p_governor") - F.col("p_idx")
     start = F.when((F.col("p_governor") != 0) & (gov_wi < F.col("p_wi")), gov_wi).otherwise(sent_start)
-    x = piv.select("id", "doc_id", "p_wi", start.alias("start")).join(passage_words(passages), "doc_id")
+    x = piv.select("id", "doc_id", "p_wi", start.alias("start")).join(
+        passage_words(_target_passages(passages, targets)), "doc_id")
     return x.select("id", C.detokenize(F.slice("warr", F.col("start") + 1,
                                                F.col("p_wi") - F.col("start"))).alias("before"))
