@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionkit.llm import decontaminate as dec
+from mentionkit.llm import simhash
 from mentionkit.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,9 @@ def op6(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op4_simhash_near_duplicates")
+def op4(spark, sf_dir):
+    """SimHash near-duplicates: every document's fingerprint and group."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
