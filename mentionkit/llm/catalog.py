@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionkit.llm import decontaminate as dec
-from mentionkit.llm import simhash
+from mentionkit.llm import secrets, simhash
 from mentionkit.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,15 @@ def op6(spark, sf_dir):
 def op4(spark, sf_dir):
     """SimHash near-duplicates: every document's fingerprint and group."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op8_secret_scan")
+def op8(spark, sf_dir):
+    """Secret scan: base spans of every document and the spans that ownership counts add (owner: source)."""
+    found = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    n = {k: F.size(secrets.of_kind("spans", k)).cast("long").alias(f"n_{k}") for k in [*secrets.KINDS, secrets.OWNED]}
+    return found.select(
+        "doc_id", *(n[k] for k in secrets.KINDS),
+        F.sha2(secrets.joined(secrets.of_kind("spans", *secrets.KINDS)).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"), n[secrets.OWNED],
+        F.size(F.filter("spans", lambda s: s["verdict"] == "live")).cast("long").alias("n_live"))
