@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionkit.llm import decontaminate as dec
-from mentionkit.llm import secrets, simhash
-from mentionkit.llm.common import read
+from mentionkit.llm import quality, secrets, simhash, toxicity
+from mentionkit.llm.common import crc_fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,23 @@ def op8(spark, sf_dir):
         F.sha2(secrets.joined(secrets.of_kind("spans", *secrets.KINDS)).cast("binary"), 256).alias("base_sha256"),
         secrets.joined("spans").alias("spans"), n[secrets.OWNED],
         F.size(F.filter("spans", lambda s: s["verdict"] == "live")).cast("long").alias("n_live"))
+
+
+def _scored(docs: DataFrame, model, kind, folds: int, held: int) -> DataFrame:
+    out = kind.with_score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (crc_fold("doc_id", folds) == held).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op5_quality")
+def op5(spark, sf_dir):
+    """Quality score of every document; folds 0 and 2 of 3 are learnt from."""
+    docs, labels = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality")
+    return _scored(docs, quality.fit(docs, labels, crc_fold("doc_id", 3) != 1), quality, 3, 1)
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    """Toxicity score of every document; folds 1 to 4 of 5 are learnt from."""
+    docs, labels = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic")
+    return _scored(docs, toxicity.fit(docs, labels, crc_fold("doc_id", 5) != 0), toxicity, 5, 0)
