@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionkit.llm import decontaminate as dec
-from mentionkit.llm import quality, secrets, simhash, toxicity
+from mentionkit.llm import packing, quality, secrets, simhash, tokens, toxicity
 from mentionkit.llm.common import crc_fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,19 @@ def op7(spark, sf_dir):
     """Toxicity score of every document; folds 1 to 4 of 5 are learnt from."""
     docs, labels = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic")
     return _scored(docs, toxicity.fit(docs, labels, crc_fold("doc_id", 5) != 0), toxicity, 5, 0)
+
+
+@query("op1_token_counts")
+def op1(spark, sf_dir):
+    """Tokens of every document by field (source, lang) and line of its text; crossing tokens go to the larger part."""
+    docs = tokens.with_fields_and_lines(read(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"),
+                                        ["source", "lang"])
+    return tokens.token_counts(docs, tokens.broadcast_vocabulary(spark)).withColumn(
+        "tokens", F.col("tokens").cast("long"))
+
+
+@query("op2_best_fit_packing")
+def op2(spark, sf_dir):
+    """Every document's tokens, with one end-of-document token each, packed into training sequences."""
+    docs = tokens.lengths(read(spark, sf_dir, "documents", "doc_id", "text"), tokens.broadcast_vocabulary(spark))
+    return packing.pack_documents(docs.select("doc_id", (F.col("length") + 1).alias("length")))
