@@ -32,9 +32,10 @@ from mentionkit.llm.labelled import ROWS_PER_CLASS, labelled_sample, prior_shift
 NGRAMS = (2, 3, 4, 5, 6)
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
-#: Features in fewer sampled documents are left out; of the others the most telling are kept.
+#: Features in fewer sampled documents are left out; of the others the most telling are kept: what a
+#: document has of these reaches the driver, some 100 numbers each.
 LEAST_DOCS = 5
-MAX_FEATURES = 1 << 15
+MAX_FEATURES = 1 << 12
 SMOOTHING = 1.0
 RIDGE = 1e-4
 STEPS = 300
