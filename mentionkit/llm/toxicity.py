@@ -37,8 +37,8 @@ BUCKETS = 1 << BUCKET_BITS
 LEAST_DOCS = 5
 MAX_FEATURES = 1 << 12
 SMOOTHING = 1.0
-RIDGE = 1e-4
-STEPS = 300
+RIDGE = 1e-2
+STEPS = 100
 WORD_CACHE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,24 +107,23 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxi
     texts = sample.select("y", text_bytes().alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, BUCKETS), np.int64)  # words with a feature by class, documents by class
+        total = np.zeros((3, BUCKETS), np.int64)  # words with a feature by class, documents
         for y, text in python_rows(batches):
             bucket, n = document_features(text)
             total[y, bucket] += n
-            total[2 + y, bucket] += 1
+            total[2, bucket] += 1
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)],
-                                         names=["bucket", "n0", "n1", "d0", "d1"])
+                                         names=["bucket", "n0", "n1", "docs"])
 
-    counts = texts.mapInArrow(count, "bucket long, n0 long, n1 long, d0 long, d1 long").groupBy("bucket").agg(
-        *(F.sum(c).alias(c) for c in ("n0", "n1", "d0", "d1"))).toPandas().sort_values("bucket")
-    counts = counts[counts.d0 + counts.d1 >= LEAST_DOCS]
+    counts = texts.mapInArrow(count, "bucket long, n0 long, n1 long, docs long").groupBy("bucket").agg(
+        *(F.sum(c).alias(c) for c in ("n0", "n1", "docs"))).toPandas().sort_values("bucket")
+    counts = counts[counts.docs >= LEAST_DOCS]
     p, q = counts.n1 + SMOOTHING, counts.n0 + SMOOTHING
     ratio = np.log((p / p.sum()) / (q / q.sum())).to_numpy()
-    # most telling: the difference of the classes' document shares in standard errors
-    s1, s0 = counts.d1 / taken[1], counts.d0 / taken[0]
-    mean = (counts.d1 + counts.d0) / (taken[1] + taken[0])
-    telling = ((s1 - s0).abs() / np.sqrt(mean * (1 - mean).clip(lower=1e-9) + 1e-9)).to_numpy()
+    # most telling: the difference of the shares of each class's n-grams, in standard errors
+    n1, n0 = p.to_numpy(float), q.to_numpy(float)
+    telling = np.abs(n1 / n1.sum() - n0 / n0.sum()) / np.hypot(np.sqrt(n1) / n1.sum(), np.sqrt(n0) / n0.sum())
     keep = np.sort(np.argsort(-telling, kind="stable")[:MAX_FEATURES])
     bucket, ratio = counts.bucket.to_numpy()[keep], ratio[keep]
     column = np.full(BUCKETS, -1, np.int32)
