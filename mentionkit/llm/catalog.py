@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionkit.llm import decontaminate as dec
-from mentionkit.llm import packing, quality, secrets, simhash, tokens, toxicity
+from mentionkit.llm import chat, lm, packing, quality, repetition, secrets, simhash, tokens, toxicity
 from mentionkit.llm.common import crc_fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,81 @@ def op2(spark, sf_dir):
     """Every document's tokens, with one end-of-document token each, packed into training sequences."""
     docs = tokens.lengths(read(spark, sf_dir, "documents", "doc_id", "text"), tokens.broadcast_vocabulary(spark))
     return packing.pack_documents(docs.select("doc_id", (F.col("length") + 1).alias("length")))
+
+
+def _safe_sql(column: str) -> str:
+    return f"replace({column}, '<|', '< |')"
+
+
+OP3_SQL = f"""
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '{chat.UNKNOWN}') AS role, coalesce(text, '') AS text FROM conversations),
+logged AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM turns GROUP BY conv_id),
+alone AS MATERIALIZED (
+  SELECT turns, min(conv_id) AS conv_id, count(*) AS copies FROM logged GROUP BY turns)
+SELECT conv_id, CAST(len(turns) AS BIGINT) AS n_turns, CAST(copies AS BIGINT) AS copies,
+  array_to_string(list_transform(turns, lambda t: '{chat.START}' || {_safe_sql('t.role')} || chr(10) || {_safe_sql('t.text')}
+    || '{chat.END.strip()}' || chr(10)), '') AS rendered
+FROM alone AS a
+WHERE NOT EXISTS (SELECT 1 FROM alone AS b WHERE len(b.turns) > len(a.turns) AND b.turns[1 : len(a.turns)] = a.turns)"""
+
+
+@query("op3_chat_format", OP3_SQL)
+def op3(spark, sf_dir):
+    """Maximal conversations, rendered."""
+    return chat.render(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _repeated_sql(n: int, of: str = "d") -> str:
+    """Places of the n-word windows that stand twice or more in their text."""
+    return f"""SELECT rid, unnest(places) AS i FROM (
+    SELECT rid, list(i) AS places FROM (SELECT rid, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM {of} WHERE len(w) >= {n})
+    GROUP BY rid, array_to_string(w[i : i + {n} - 1], ' ')) WHERE len(places) > 1"""
+
+
+def _covered_sql(n: int, of: str = "d") -> str:
+    return (f"SELECT rid, count(DISTINCT j) AS words FROM (SELECT rid, unnest(range(i, i + {n})) AS j "
+            f"FROM ({_repeated_sql(n, of)})) GROUP BY rid")
+
+
+#: A repeat of n words or more covers what the repeated n-word windows cover.
+OP10_SQL = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM documents),
+five AS MATERIALIZED ({_covered_sql(repetition.REPEAT_WINDOW)}),
+again AS MATERIALIZED (SELECT rid, w FROM d WHERE rid IN (SELECT rid FROM five)),
+spans AS ({_covered_sql(repetition.LEAST_REPEAT, "again")}),
+long AS (SELECT DISTINCT rid, true AS too_long FROM ({_repeated_sql(repetition.MAX_REPEAT + 1, "again")})),
+counts AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(five.words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(spans.words, 0) AS BIGINT) AS n_covered_words,
+    coalesce(too_long, false) AS too_long
+  FROM d LEFT JOIN five USING (rid) LEFT JOIN spans USING (rid) LEFT JOIN long USING (rid)),
+ruled AS (
+  SELECT *, n_words < {repetition.MIN_WORDS}
+    OR 100 * n_repeat_words > {repetition.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR too_long OR 100 * n_covered_words > {repetition.MAX_COVERED_PERCENT} * n_words) AS kept, n_covered_words
+FROM ruled"""
+
+
+@query("op10_quality_rules", OP10_SQL)
+def op10(spark, sf_dir):
+    """Quality rules of every document: simple counts and the suffix array's verdict."""
+    return repetition.repetition(read(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_covered_words")
+
+
+@query("op9_language_model")
+def op9(spark, sf_dir):
+    """Suffix-tree language model: every text's unigram and model log10 probability; fold 0 of 10 is held out."""
+    return lm.score(read(spark, sf_dir, "documents", "doc_id", "text"), crc_fold("doc_id", 10) != 0)
