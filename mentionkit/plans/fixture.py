@@ -64,6 +64,7 @@ class Corpus:
     passages: DataFrame
     words: DataFrame
     mentions: DataFrame
+    key: str | None = None      # fingerprint of the inputs, for tables staged from this corpus
 
 
 def load_corpus(spark: SparkSession, sf_dir: str, stage: bool = True) -> Corpus:
@@ -76,10 +77,10 @@ def load_corpus(spark: SparkSession, sf_dir: str, stage: bool = True) -> Corpus:
     if not stage:
         words = annotate(passages)
         return Corpus(passages, words, mention_fixture(words, passages))
-    key = input_fingerprint(passages, "annotate-v2")
+    key = input_fingerprint(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
     words = staged(spark, "words", key, lambda: annotate(passages), sort_by=["doc_id", "wi"])
     mentions = staged(spark, "mentions", key, lambda: mention_fixture(words, passages), sort_by=["id"])
-    return Corpus(passages, words, mentions)
+    return Corpus(passages, words, mentions, key)
 
 
 @dataclass
@@ -88,18 +89,26 @@ class Context:
 
     ``near_words`` holds every word the target-centred operators read: the
     sentences that contain a target (trees live inside a sentence) and a
-    +/-``NEAR_RADIUS`` word window around each target. Both are staged, so the
-    feature queries join a small table instead of all words of the corpus.
+    +/-``radius`` word window around each target. Both are staged, so the
+    feature queries join a small table instead of all words of the corpus. A
+    window operator that is asked for more than ``radius`` words fails.
     """
     corpus: Corpus
     targets: DataFrame
     near_words: DataFrame
+    radius: int | None = None
 
+    @property
+    def key(self) -> str | None:
+        return self.corpus.key
 
-NEAR_RADIUS = 12   # >= the widest window used (10) plus the n-gram length
 
+#: Words kept on each side of a target unless the caller asks for wider windows: the widest
+#: registered window (10) and the further words of an n-gram that starts there.
+DEFAULT_RADIUS = 12
 
-def neighbourhood_words(words: DataFrame, targets: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
+
+def neighbourhood_words(words: DataFrame, targets: DataFrame, radius: int = DEFAULT_RADIUS) -> DataFrame:
     if "sent" in targets.columns:     # staged targets carry their sentence
         tw = targets.select("doc_id", "sent")
     else:
@@ -111,21 +120,12 @@ def neighbourhood_words(words: DataFrame, targets: DataFrame, radius: int = NEAR
     return by_sent.unionByName(by_pos).dropDuplicates(["doc_id", "wi"])
 
 
-def load_context(spark: SparkSession, sf_dir: str) -> Context:
-    """Corpus plus the aligned pronoun / A / B targets (J8), both staged."""
-    from mentionkit.operators.align import targets_of
-    from mentionkit.operators.annotate import doc_sizes
-    corpus = load_corpus(spark, sf_dir)
-    key = input_fingerprint(corpus.passages, "annotate-v2", "targets-v2")
+def load_context(spark: SparkSession, sf_dir: str, radius: int = DEFAULT_RADIUS) -> Context:
+    """Corpus plus the aligned pronoun / A / B targets (J8), both staged.
 
-    def compute_targets():
-        t = targets_of(corpus.mentions, corpus.words).join(doc_sizes(corpus.words), "doc_id")
-        return t.join(corpus.words.select("doc_id", "wi", "sent"), ["doc_id", "wi"], "left")
-
-    targets = staged(spark, "targets", key, compute_targets, sort_by=["doc_id", "wi"])
-    near = staged(spark, "near_words", key, lambda: neighbourhood_words(corpus.words, targets),
-                  sort_by=["doc_id", "wi"])
-    return Context(corpus, targets.drop("sent"), near)
+    ``radius``: words on each side of a target that window operators may ask for.
+    """
+    return context_from_corpus(load_corpus(spark, sf_dir), radius)
 
 
 def corpus_from_mentions(spark: SparkSession, mentions: DataFrame, stage_key: str | None = None) -> Corpus:
@@ -135,10 +135,11 @@ def corpus_from_mentions(spark: SparkSession, mentions: DataFrame, stage_key: st
     if stage_key is None:
         return Corpus(passages, annotate(passages), mentions)
     words = staged(spark, "words", stage_key, lambda: annotate(passages), sort_by=["doc_id", "wi"])
-    return Corpus(passages, words, mentions)
+    return Corpus(passages, words, mentions, stage_key)
 
 
-def context_from_corpus(corpus: Corpus, stage_key: str | None = None) -> Context:
+def context_from_corpus(corpus: Corpus, radius: int = DEFAULT_RADIUS) -> Context:
+    """Targets and their neighbourhood; staged where the corpus has a key."""
     from mentionkit.operators.align import targets_of
     from mentionkit.operators.annotate import doc_sizes
     spark = corpus.words.sparkSession
@@ -147,18 +148,18 @@ def context_from_corpus(corpus: Corpus, stage_key: str | None = None) -> Context
         t = targets_of(corpus.mentions, corpus.words).join(doc_sizes(corpus.words), "doc_id")
         return t.join(corpus.words.select("doc_id", "wi", "sent"), ["doc_id", "wi"], "left")
 
-    if stage_key is None:
+    if corpus.key is None:
         targets = compute_targets()
-        return Context(corpus, targets.drop("sent"), neighbourhood_words(corpus.words, targets))
-    targets = staged(spark, "targets", stage_key, compute_targets, sort_by=["doc_id", "wi"])
-    near = staged(spark, "near_words", stage_key, lambda: neighbourhood_words(corpus.words, targets),
-                  sort_by=["doc_id", "wi"])
-    return Context(corpus, targets.drop("sent"), near)
+        return Context(corpus, targets.drop("sent"), neighbourhood_words(corpus.words, targets, radius), radius)
+    targets = staged(spark, "targets", corpus.key, compute_targets, sort_by=["doc_id", "wi"])
+    near = staged(spark, f"near_words-{radius}", corpus.key,
+                  lambda: neighbourhood_words(corpus.words, targets, radius), sort_by=["doc_id", "wi"])
+    return Context(corpus, targets.drop("sent"), near, radius)
 
 
-def load_tsv_context(spark: SparkSession, path: str) -> Context:
+def load_tsv_context(spark: SparkSession, path: str, radius: int = DEFAULT_RADIUS) -> Context:
     """S1 + K5 + J8 for a mention TSV, staged under the TSV's fingerprint."""
     from mentionkit.sources.tsv import read_mentions
-    mentions = read_mentions(spark, path)
-    key = input_fingerprint(mentions, "tsv-annotate-v2", "targets-v2")
-    return context_from_corpus(corpus_from_mentions(spark, mentions, key), key)
+    key = input_fingerprint(spark, path, "tsv")
+    mentions = staged(spark, "tsv-mentions", key, lambda: read_mentions(spark, path))
+    return context_from_corpus(corpus_from_mentions(spark, mentions, key), radius)

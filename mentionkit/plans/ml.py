@@ -45,10 +45,8 @@ def long_counts(targets: DataFrame, words: DataFrame, window: int = S.DEFAULT_WI
 
 def staged_counts(cx) -> DataFrame:
     """The canonical long ``features`` table of a corpus context, staged once."""
-    from mentionkit.sources.staging import input_fingerprint, staged
-    spark = cx.targets.sparkSession
-    key = input_fingerprint(cx.corpus.passages, "annotate-v2", "targets-v2", "counts-v1")
-    return staged(spark, "features", key, lambda: long_counts(cx.targets, cx.near_words),
+    from mentionkit.sources.staging import staged
+    return staged(cx.targets.sparkSession, "features", cx.key, lambda: long_counts(cx.targets, cx.near_words),
                   sort_by=["id", "role"])
 
 

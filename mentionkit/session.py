@@ -34,26 +34,34 @@ def build_session(master: str | None = None, app: str = "mentionkit",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local runs and tests) a scratch folder is
-    created; on a cluster the configured shared folder is always used.
+    The same in every application with that setting, unlike Spark's checkpoint directory, which is a
+    fresh subfolder of it in each one. Local runs and tests without the setting get a scratch folder;
+    on any other master a missing setting is an error, since other machines could not read such a folder.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        try:
-            conf_dir = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # not set
-            conf_dir = None
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="mentionkit-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    own = _scratch.get(sc.applicationId)
+    if own is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = _scratch[sc.applicationId] = tempfile.mkdtemp(prefix="mentionkit-ckpt-")
+    return own
+
+
+_scratch: dict[str, str] = {}
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """This application's checkpoint directory below the shared folder (set where it is not yet)."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(spark))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

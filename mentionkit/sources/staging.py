@@ -1,13 +1,15 @@
 """S4 / S5 -- staged tables and model persistence.
 
-S4: an expensive derived table (the annotated ``words``, the ``mentions``) is
-written once as Parquet below the shared checkpoint folder, under a key that
-fingerprints its inputs (paths, sizes, modification times, row count and the
-annotator version). Later jobs read it back with column pruning and predicate
-pushdown instead of re-annotating; a changed input gives a new key, and a
-failure while loading is raised, never swallowed into a silent recompute.
-Writing it also cuts the lineage, so a lost executor re-reads the table
-instead of re-running the annotation.
+S4: an expensive derived table (the annotated ``words``, the ``mentions``) is written once as Parquet
+below the shared folder (``spark.checkpoint.dir``), under a key that fingerprints its inputs (paths,
+sizes and modification times on any file system, and the package source). Later jobs and later
+applications read it back with column pruning and predicate pushdown instead of re-annotating; a
+changed input gives a new key, and a failure while loading is raised, never swallowed into a silent
+recompute. Writing it also cuts the lineage: a lost executor re-reads the table.
+
+A writer fills a folder of its own and then publishes it by creating one marker file that must not
+exist yet, so of two writers one wins and both read the winner's table. Nothing is ever overwritten
+or removed: whoever owns the shared folder clears ``staged`` when its inputs are gone.
 
 S5: Spark ML ``PipelineModel`` save / load (parameters live in the saved stages).
 """
@@ -16,13 +18,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import time
+import uuid
 from collections.abc import Callable
-from urllib.parse import urlparse
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mentionkit.session import shared_folder
 
-from mentionkit.session import checkpoint_dir
 
 def _code_version() -> str:
     """Hash of this package's source: any code change gives staged tables a new key."""
@@ -40,44 +44,57 @@ def _code_version() -> str:
 STAGING_VERSION = _code_version()
 
 
-def input_fingerprint(df: DataFrame, *extra: str) -> str:
-    """Fingerprint of a file-based DataFrame's inputs (no data pass besides a metadata count)."""
-    h = hashlib.sha1(STAGING_VERSION.encode())
-    for f in sorted(df.inputFiles()):
-        h.update(f.encode())
-        u = urlparse(f)
-        if u.scheme in ("", "file") and os.path.exists(u.path):
-            st = os.stat(u.path)
-            h.update(f"{st.st_size}:{st.st_mtime_ns}".encode())
-    for e in extra:
-        h.update(str(e).encode())
-    return h.hexdigest()[:20]
+def input_fingerprint(spark: SparkSession, path: str, *extra: str) -> str:
+    """Fingerprint of the files below ``path`` (names, sizes, times), read by Spark from any file system."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .select("path", "length", "modificationTime"))     # contents are not read
+    seen = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"), F.sum(F.xxhash64(
+        "path", "length", "modificationTime").cast("decimal(38,0)")).alias("mix")).first()
+    return hashlib.sha1(repr((STAGING_VERSION, *seen, *map(str, extra))).encode()).hexdigest()[:20]
 
 
 def staged(spark: SparkSession, name: str, key: str, compute: Callable[[], DataFrame],
            sort_by: list[str] | None = None) -> DataFrame:
-    """Read ``<checkpoint>/staged/<name>-<key>`` if present, else compute, write and read it."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/staged/{name}-{key}"
-    if _committed(spark, path):
-        return spark.read.parquet(path)
-    df = compute()
-    if sort_by:
-        df = df.sortWithinPartitions(*sort_by)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def _committed(spark: SparkSession, path: str) -> bool:
-    """True when a previous write of ``path`` finished (its ``_SUCCESS`` marker exists).
-
-    A job that died mid-write leaves no marker, so the table is recomputed and
-    overwritten instead of being read half-written.
-    """
+    """Read the published table ``<shared folder>/staged/<name>-<key>``, else compute, write and publish it."""
+    folder = f"{shared_folder(spark)}/staged/{name}-{key}"
+    part = _published(spark, folder)
+    if part is None:
+        df = compute()
+        if sort_by:
+            df = df.sortWithinPartitions(*sort_by)
+        own = f"part-{uuid.uuid4().hex}"
+        df.write.parquet(f"{folder}/{own}")
+        part = _publish(spark, folder, own)
+    return spark.read.parquet(f"{folder}/{part}")
+
+
+def _marker(spark: SparkSession, folder: str):
+    """The marker's file system and path (Hadoop's, so any store Spark can reach)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _published(spark: SparkSession, folder: str) -> str | None:
+    fs, path = _marker(spark, folder)
+    if not fs.exists(path) or not fs.getFileStatus(path).getLen():
+        return None
+    return spark.read.text(str(path)).first()[0]
+
+
+def _publish(spark: SparkSession, folder: str, part: str) -> str:
+    """Name ``part`` in the marker; another writer's part where that one was first."""
+    fs, path = _marker(spark, folder)
     try:
-        spark.read.text(f"{path}/_SUCCESS")
-        return True
-    except AnalysisException:
-        return False
+        out = fs.create(path, False)        # fails where the marker exists
+    except Exception as error:
+        for _ in range(100):
+            if (winner := _published(spark, folder)) is not None:
+                return winner
+            time.sleep(0.1)
+        raise RuntimeError(f"no published table in {folder}") from error
+    out.write(bytearray(part.encode()))
+    out.close()
+    return part
 
 
 def save_model(model, path: str) -> None:

@@ -3,8 +3,8 @@
 The reference has no streaming operator; these scorers are stateless, so the
 same DataFrame code runs on ``readStream``: the name-gender cohort is a static
 dimension and the join is a stream-static left join (no state, no watermark).
-Progress and output commits live below the shared checkpoint folder, so a
-restarted query resumes where it stopped.
+Progress lives in a folder that the caller names, by default below the shared
+folder, so a query restarted by a new process resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from mentionkit.functions import columns as C
 from mentionkit.operators import scorers as R
-from mentionkit.session import checkpoint_dir
+from mentionkit.session import shared_folder
 
 MENTION_STREAM_SCHEMA = ("id long, doc_id long, text string, pronoun string, pronoun_offset int, a string, "
                          "a_offset int, a_coref boolean, b string, b_offset int, b_coref boolean")
@@ -32,10 +32,10 @@ def score_stream(mentions: DataFrame, cohort_source: DataFrame, she: list[str],
     return scored
 
 
-def start_to_parquet(stream: DataFrame, out_path: str, name: str, trigger_once: bool = True):
-    """Append the scored stream to Parquet with its checkpoint in the shared folder."""
-    spark = stream.sparkSession
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    w = stream.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", ckpt)
+def start_to_parquet(stream: DataFrame, out_path: str, name: str, trigger_once: bool = True,
+                     checkpoint: str | None = None):
+    """Append the scored stream to Parquet; ``checkpoint`` (default ``<shared folder>/streams/<name>``) keeps progress."""
+    place = checkpoint or f"{shared_folder(stream.sparkSession)}/streams/{name}"
+    w = stream.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", place)
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.outputMode("append").start()
