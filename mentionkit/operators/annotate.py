@@ -27,15 +27,28 @@ WORD_COLUMNS = ["doc_id", "wi", "sent", "idx", "o", "lo", "nb", "pb", "word", "l
 
 
 def _tokens(passages: DataFrame, pattern: str) -> DataFrame:
-    # An explicit partition count: the exploded rows are several times the
-    # text bytes, so AQE must not coalesce this exchange down to a few tasks.
-    n = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = passages.select("doc_id", "text").repartition(n, "doc_id")
+    docs = passages.select("doc_id", "text")
+    docs = docs.repartition(_partitions(docs), "doc_id")
     return docs.select(
         "doc_id",
         F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(pattern), 0)).alias("pos", "tok"))
 
 
+#: Estimated input bytes (Spark's, of compressed files) of one annotation task.
+PARTITION_BYTES = 32 << 20
+
+
+def _partitions(docs: DataFrame) -> int:
+    """Tasks by the size of the input, not below the session's shuffle partitions.
+
+    The exploded rows are several times the text, so the count is explicit and AQE does not merge the
+    exchange into a few tasks. Where Spark has no size (it then assumes the largest) the session's count holds.
+    """
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size >= 1 << 62 else max(least, -(-size // PARTITION_BYTES))
+
+
 def tokenize_words(passages: DataFrame, pattern: str = S.TOKEN_PATTERN,
                    sentence_end: list[str] = S.SENTENCE_END) -> DataFrame:
     """Words with offsets: ``(doc_id, wi, sent, idx, o, lo, nb, word)``.

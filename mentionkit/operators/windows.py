@@ -9,7 +9,7 @@ positions beyond ``n_words + N - 1`` are absent rather than padded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionkit import schema as S
@@ -18,7 +18,17 @@ from mentionkit.operators.annotate import doc_sizes, sentence_bounds
 
 
 def _tagged(words: DataFrame, kind: str) -> DataFrame:
-    return words.select("doc_id", F.col("wi").alias("pos"), C.tag_of(kind).alias("wtag"))
+    return words.select("doc_id", F.col("wi").alias("pos"), C.tag_of(kind).alias("wtag"), F.lit(True).alias("found"))
+
+
+def _padded_tag() -> Column:
+    """The tag at ``pos``, BOS / EOS outside the passage; a word of the passage that ``words`` lacks is an error."""
+    missing = F.raise_error(F.concat(
+        F.lit("the window reaches word "), F.col("pos").cast("string"),
+        F.lit(" of a passage, which the given words lack: build the context with a larger radius")))
+    return (F.when(F.col("pos").isNull(), F.lit(None).cast("string"))      # a target without a word
+            .when(F.col("pos") < 0, S.BOS).when(F.col("pos") >= F.col("n_words"), S.EOS)
+            .when(F.col("found"), F.col("wtag")).otherwise(missing))
 
 
 def _with_sizes(targets: DataFrame, words: DataFrame) -> DataFrame:
@@ -39,15 +49,14 @@ def tag_window(targets: DataFrame, words: DataFrame, n: int = S.DEFAULT_WINDOW,
                      .otherwise(F.col("wi") + F.col("tl") - 1 + F.col("k")))
     t = t.where((F.col("k") <= 0) | (F.col("pos") < F.col("n_words") + n))
     j = t.join(_tagged(words, kind), ["doc_id", "pos"], "left")
-    tag = (F.when(F.col("pos") < 0, S.BOS).when(F.col("pos") >= F.col("n_words"), S.EOS)
-           .otherwise(F.col("wtag")))
+    tag = _padded_tag()
     return j.select("id", "role", "k", tag.alias("tag"))
 
 
 def positional_window(targets: DataFrame, words: DataFrame, n: int = S.DEFAULT_WINDOW,
                       kind: str = "UPOS", use_target_len: bool = True) -> DataFrame:
-    """``(id, role, k, feature)`` with feature = tag + '_' + k."""
-    w = tag_window(targets, words, n, kind, use_target_len)
+    """``(id, role, k, feature)`` with feature = tag + '_' + k; places without a tag have none."""
+    w = tag_window(targets, words, n, kind, use_target_len).where(F.col("tag").isNotNull())
     return w.select("id", "role", "k", F.concat_ws("_", "tag", F.col("k").cast("string")).alias("feature"))
 
 
@@ -60,8 +69,7 @@ def tag_ngrams(targets: DataFrame, words: DataFrame, window: int = S.DEFAULT_NGR
     t = t.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
     t = t.withColumn("pos", F.col("wi") + F.col("s") + F.col("j"))
     j = t.join(_tagged(words, kind), ["doc_id", "pos"], "left")
-    tag = (F.when(F.col("pos") < 0, S.BOS).when(F.col("pos") >= F.col("n_words"), S.EOS)
-           .otherwise(F.col("wtag")))
+    tag = _padded_tag()
     g = j.groupBy("id", "role", "s").agg(
         F.array_sort(F.collect_list(F.struct(F.col("j"), tag.alias("tag")))).alias("parts"))
     return g.select("id", "role", "s", F.array_join(F.transform("parts", lambda x: x["tag"]), "_").alias("gram"))

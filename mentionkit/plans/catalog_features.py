@@ -142,6 +142,13 @@ def q_w1(spark, sf_dir):
     return W.tag_window(cx.targets, cx.near_words)
 
 
+@register("w1_tag_window_n20", with_ctes(window_sql(n=20)))
+def q_w1_n20(spark, sf_dir):
+    """A window wider than the default neighbourhood: the context is built for it."""
+    cx = load_context(spark, sf_dir, radius=20)
+    return W.tag_window(cx.targets, cx.near_words, n=20)
+
+
 @register("w1_tag_window_xpos", with_ctes(window_sql(kind="XPOS")))
 def q_w1_xpos(spark, sf_dir):
     cx = load_context(spark, sf_dir)
@@ -362,6 +369,37 @@ def q_j4(spark, sf_dir):
     return PR.zip_true_false(PR.pair_statistics(pairs, inter))
 
 
+def _dependency_stats(spark, sf_dir):
+    cx = load_context(spark, sf_dir)
+    inter = V.pair_interactions(feature_counts(cx).where(F.col("family") == "dependency"))
+    return PR.pair_statistics(PR.pair_blocks(cx.corpus.mentions), inter, "dependency")
+
+
+DEPENDENCY_CONTRAST_SQL = [("cnt", _H5_SQL), *CONTRAST_SQL[1:3],
+                           ("pstats", CONTRAST_SQL[3][1].replace("'position'", "'dependency'"))]
+
+
+@register("a4_a5_dependency_statistics", with_ctes("""
+SELECT is_true, count(*) AS pairs, avg(l1) AS l1_mean, var_pop(l1) AS l1_var,
+  avg(same) AS same_mean, var_pop(same) AS same_var FROM pstats GROUP BY is_true""", DEPENDENCY_CONTRAST_SQL),
+          doubles=["l1_mean", "l1_var", "same_mean", "same_var"])
+def q_a4_a5_dependency(spark, sf_dir):
+    """A4 and A5 on the dependency family."""
+    return PR.class_statistics(_dependency_stats(spark, sf_dir))
+
+
+@register("j4_a6_dependency_zip", with_ctes("""
+SELECT count(*) AS pairs_compared,
+  CAST(count(*) FILTER (WHERE t.l1 > f.l1) AS BIGINT) AS true_diff_larger,
+  CAST(count(*) FILTER (WHERE t.same > f.same) AS BIGINT) AS true_same_larger
+FROM (SELECT row_number() OVER (ORDER BY block, id) - 1 AS ord, l1, same FROM pstats WHERE is_true) t
+JOIN (SELECT row_number() OVER (ORDER BY block, id) - 1 AS ord, l1, same FROM pstats WHERE NOT is_true) f
+  ON t.ord = f.ord""", DEPENDENCY_CONTRAST_SQL))
+def q_j4_dependency(spark, sf_dir):
+    """J4 and A6 on the dependency family."""
+    return PR.zip_true_false(_dependency_stats(spark, sf_dir))
+
+
 _VOCAB_POS = ", ".join(f"('{t}')" for t in V.vocabulary("position"))
 A7_SQL = CONTRAST_SQL + [("a7", f"""
 SELECT v.is_true, v.feature, CAST(coalesce(s.abs_diff, 0) AS BIGINT) AS abs_diff,
