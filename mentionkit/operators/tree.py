@@ -1,97 +1,80 @@
 """Dependency-tree operators: J6 (parent), J7 (children), F1-F3, P14.
 
-Parent pointers are 1-based positions in the sentence, so the parent of word
-``wi`` is the word ``wi + governor - idx`` (equi-join on ``(doc_id, wi)``) and
-the children of a word are the words of its sentence whose ``governor`` equals
-its ``idx`` (equi-join on ``(doc_id, sent, governor)``). The bag needs at most
-two steps up and two down, so it is a fixed union of self-joins, no recursion.
-Words are first restricted to the passages holding a target (a semi join that
-keeps the words' own ``doc_id`` partitioning).
+A tree lives inside a sentence, so the words of each sentence are gathered into one array (one
+aggregate on ``(doc_id, sent)``, bounded by a sentence) and each target is joined to the array of its
+own sentence; everything else is row-local. Parent pointers are 1-based positions in the sentence:
+the parent of word ``wi`` is the word ``wi + governor - idx`` (J6) and its children are the words
+whose ``governor`` equals its ``idx`` (J7). The bag needs at most two steps up and two down.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionkit import schema as S
 from mentionkit.functions import columns as C
-from mentionkit.operators.align import words_for
 from mentionkit.operators.windows import positional_window
 
 
-def _node(words: DataFrame, kind: str) -> DataFrame:
-    return words.select("doc_id", "wi", "sent", "idx", "governor", C.tag_of(kind).alias("tag"))
+def with_sentence(targets: DataFrame, words: DataFrame, kind: str = "UPOS") -> DataFrame:
+    """``(id, role, doc_id, wi, sent, ws, me)``: each target with its sentence's words and its own one.
 
+    Targets without a word in ``words`` drop out.
+    """
+    node = F.struct("wi", "idx", "governor", "deprel", "upos", "xpos", C.tag_of(kind).alias("tag"))
+    place = targets.select("id", "role", "doc_id", "wi").join(words.select("doc_id", "wi", "sent"), ["doc_id", "wi"])
+    sentences = words.groupBy("doc_id", "sent").agg(F.collect_list(node).alias("ws"))
+    return place.join(sentences, ["doc_id", "sent"]).withColumn("me", _at("ws", F.col("wi")))
+
+
+def _at(ws: str, wi: Column) -> Column:
+    """The word of the sentence at place ``wi``; NULL when there is none."""
+    return F.get(F.filter(ws, lambda x: x["wi"] == wi), 0)
+
+
+def _parent(ws: str, node: Column) -> Column:
+    """The governor of ``node``; NULL at the root."""
+    return F.when(node["governor"] != 0, _at(ws, node["wi"] + node["governor"] - node["idx"]))
 
-def _children_of(parents: DataFrame, nodes: DataFrame, psent: str, pidx: str) -> DataFrame:
-    """Children (as node columns prefixed ``c_``) of each parent row."""
-    kids = nodes.select(F.col("doc_id").alias("_kd"), F.col("sent").alias("_ks"),
-                        F.col("governor").alias("_kg"),
-                        *[F.col(c).alias("c_" + c) for c in ("wi", "sent", "idx", "tag")])
-    j = parents.join(kids, (F.col("doc_id") == F.col("_kd")) & (F.col(psent) == F.col("_ks"))
-                     & (F.col(pidx) == F.col("_kg")))
-    return j.drop("_kd", "_ks", "_kg")
+
+def _children(ws: str, node: Column) -> Column:
+    """The words governed by ``node``; none where that is NULL."""
+    return F.filter(ws, lambda x: F.coalesce(x["governor"] == node["idx"], F.lit(False)))
 
 
 def dependency_bag(targets: DataFrame, words: DataFrame, kind: str = "UPOS") -> DataFrame:
-    """``(id, role, relation, tag)`` -- governor, ancestor, sibling, sibling_child, child, grandchild.
+    """``(id, role, relation, tag)`` -- governor, ancestor, sibling, sibling_child, child, grandchild."""
+    t = with_sentence(targets, words, kind)
+    t = t.withColumn("par", _parent("ws", F.col("me")))
+    t = t.withColumn("anc", _parent("ws", F.col("par"))).withColumn("kids", _children("ws", F.col("me")))
+    t = t.withColumn("sibs", F.filter(_children("ws", F.col("par")), lambda x: x["wi"] != F.col("wi")))
 
-    Five joins: target node, parent, grandparent (all on ``(doc_id, wi)``), then the
-    children of {target, parent} in one join and the children of those children in a
-    second one (both on ``(doc_id, sent, governor)``); the relation name travels with
-    each lookup request instead of being a separate branch.
-    """
-    nodes = _node(words_for(words, targets), kind)
-    by_wi = nodes.select("doc_id", "wi", "sent", "idx", "governor", "tag")
-    t = (targets.select("id", "role", "doc_id", "wi")
-         .join(by_wi.select("doc_id", "wi", F.col("sent").alias("t_sent"), F.col("idx").alias("t_idx"),
-                            F.col("governor").alias("t_gov")), ["doc_id", "wi"]))
-
-    # governor (J6) -- only when not the root and the parent exists
-    par = (t.where(F.col("t_gov") != 0)
-           .withColumn("p_wi", F.col("wi") + F.col("t_gov") - F.col("t_idx"))
-           .join(by_wi.select("doc_id", F.col("wi").alias("p_wi"), F.col("sent").alias("p_sent"),
-                              F.col("idx").alias("p_idx"), F.col("governor").alias("p_gov"),
-                              F.col("tag").alias("p_tag")), ["doc_id", "p_wi"]))
-    gov_rows = par.select("id", "role", F.lit("governor").alias("relation"), F.col("p_tag").alias("tag"))
-
-    # ancestor -- the governor's governor; NONE when it lies beyond the passage
-    anc = (par.where(F.col("p_gov") != 0)
-           .withColumn("a_wi", F.col("p_wi") + F.col("p_gov") - F.col("p_idx"))
-           .join(by_wi.select("doc_id", F.col("wi").alias("a_wi"), F.col("tag").alias("a_tag")),
-                 ["doc_id", "a_wi"], "left"))
-    anc_rows = anc.select("id", "role", F.lit("ancestor").alias("relation"),
-                          F.coalesce("a_tag", F.lit(S.NONE_TAG)).alias("tag"))
-
-    # level 1 (J7): children of the target ("child") and of its governor ("sibling", minus itself)
-    asks = (t.select("id", "role", "doc_id", "wi", F.col("t_sent").alias("q_sent"),
-                     F.col("t_idx").alias("q_idx"), F.lit("child").alias("relation"))
-            .unionByName(par.select("id", "role", "doc_id", "wi", F.col("p_sent").alias("q_sent"),
-                                    F.col("p_idx").alias("q_idx"), F.lit("sibling").alias("relation"))))
-    lvl1 = _children_of(asks, nodes, "q_sent", "q_idx").where(
-        (F.col("relation") == "child") | (F.col("c_wi") != F.col("wi")))
-    lvl1_rows = lvl1.select("id", "role", "relation", F.col("c_tag").alias("tag"))
-
-    # level 2: their children -- grandchildren and siblings' children
-    asks2 = lvl1.select("id", "role", "doc_id", F.col("c_sent").alias("q_sent"), F.col("c_idx").alias("q_idx"),
-                        F.when(F.col("relation") == "child", "grandchild").otherwise("sibling_child")
-                        .alias("relation"))
-    lvl2_rows = _children_of(asks2, nodes, "q_sent", "q_idx").select(
-        "id", "role", "relation", F.col("c_tag").alias("tag"))
-
-    return gov_rows.unionByName(anc_rows).unionByName(lvl1_rows).unionByName(lvl2_rows)
+    def tagged(relation: str, nodes: Column) -> Column:
+        return F.transform(nodes, lambda x: F.struct(F.lit(relation).alias("relation"), x["tag"].alias("tag")))
+
+    def below(nodes: str) -> Column:
+        return F.flatten(F.transform(nodes, lambda c: F.filter("ws", lambda x: x["governor"] == c["idx"])))
+
+    def one(relation: str, there: Column, tag: Column) -> Column:
+        rows = F.array(F.struct(F.lit(relation).alias("relation"), tag.alias("tag")))
+        return F.when(there, rows).otherwise(F.slice(rows, 1, 0))
+
+    # the governor's governor; NONE when it lies beyond the sentence
+    beyond = F.coalesce(F.col("anc.tag"), F.lit(S.NONE_TAG))
+    rows = F.concat(
+        one("governor", F.col("par").isNotNull(), F.col("par.tag")),
+        one("ancestor", F.coalesce(F.col("par.governor") != 0, F.lit(False)), beyond),
+        tagged("child", F.col("kids")), tagged("sibling", F.col("sibs")),
+        tagged("grandchild", below("kids")), tagged("sibling_child", below("sibs")))
+    return t.select("id", "role", F.explode(rows).alias("r")).select("id", "role", "r.relation", "r.tag")
 
 
 def target_nodes(targets: DataFrame, words: DataFrame) -> DataFrame:
-    """Per target: its deprel, xpos, sentence and its governor's deprel / upos (J6, '' when none)."""
-    w = words_for(words, targets)
-    t = targets.select("id", "role", "doc_id", "wi").join(
-        w.select("doc_id", "wi", "sent", "idx", "governor", "deprel", "xpos", "upos"), ["doc_id", "wi"])
-    t = t.withColumn("p_wi", F.when(F.col("governor") != 0, F.col("wi") + F.col("governor") - F.col("idx")))
-    par = w.select("doc_id", F.col("wi").alias("p_wi"), F.col("deprel").alias("g_deprel"),
-                   F.col("upos").alias("g_upos"))
-    return t.join(par, ["doc_id", "p_wi"], "left")
+    """Per target: its deprel, xpos, sentence and its governor's deprel / upos (J6, NULL when none)."""
+    t = with_sentence(targets, words).withColumn("par", _parent("ws", F.col("me")))
+    return t.select("id", "role", "doc_id", "wi", "sent", "me.idx", "me.governor", "me.deprel", "me.xpos", "me.upos",
+                    F.col("par.deprel").alias("g_deprel"), F.col("par.upos").alias("g_upos"))
 
 
 def _pivot(nodes: DataFrame, cols: list[str]) -> DataFrame:
@@ -101,14 +84,13 @@ def _pivot(nodes: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def bag_overlap(bags: DataFrame) -> DataFrame:
-    """``|set(P) & set(C)|`` per (id, cand) over ``(id, role, feature)`` bags."""
-    d = bags.select("id", "role", "feature").distinct()
-    p = d.where("role = 'P'").select("id", "feature")
-    c = d.where("role <> 'P'").select("id", F.col("role").alias("cand"), "feature")
-    cand_ids = c.select("id", "cand").distinct()
-    ov = p.join(c, ["id", "feature"]).groupBy("id", "cand").agg(F.count(F.lit(1)).alias("overlap"))
-    return cand_ids.join(ov, ["id", "cand"], "left").select(
-        "id", "cand", F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"))
+    """``|set(P) & set(C)|`` per (id, cand) over ``(id, role, feature)`` bags of a few entries each."""
+    sets = bags.groupBy("id").agg(*[F.collect_set(F.when(F.col("role") == r, F.col("feature"))).alias(r)
+                                    for r in ("P", "A", "B")])
+    each = sets.select("id", F.explode(F.array(*[
+        F.struct(F.lit(r).alias("cand"), F.size(r).alias("n"), F.size(F.array_intersect("P", r)).alias("overlap"))
+        for r in ("A", "B")])).alias("c"))
+    return each.where("c.n > 0").select("id", "c.cand", F.col("c.overlap").cast("long").alias("overlap"))
 
 
 def relational_features(targets: DataFrame, words: DataFrame, kind: str = "UPOS",
