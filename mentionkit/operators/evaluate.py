@@ -19,8 +19,14 @@ def truth_table(mentions: DataFrame) -> DataFrame:
 
 
 def align(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """Truth joined to predictions on ``id``."""
-    return truth.join(pred.select("id", "p_a", "p_b", "p_neither"), "id", "inner")
+    """Truth joined to predictions on ``id``; an id that only one side has fails the job."""
+    t = truth.withColumn("in_truth", F.lit(True))
+    p = pred.select("id", "p_a", "p_b", "p_neither", F.lit(True).alias("in_pred"))
+    gap = F.col("in_truth").isNull() | F.col("in_pred").isNull()
+    fault = F.raise_error(F.concat(F.lit("truth and predictions do not hold the same ids: "), F.col("id").cast("string")))
+    checked = [F.when(gap, fault).otherwise(F.col(c)).alias(c) if c != "id" else F.col(c)
+               for c in [*truth.columns, "p_a", "p_b", "p_neither"]]
+    return t.join(p, "id", "full_outer").select(*checked)
 
 
 def alignment_gaps(truth: DataFrame, pred: DataFrame) -> DataFrame:

@@ -41,12 +41,8 @@ def mention_profile(mentions: DataFrame, by: list[str | Column] | None = None) -
 
 def distinct_values(mentions: DataFrame, columns: list[str] = ("pronoun", "a", "b")) -> DataFrame:
     """A2: distinct values of each listed column as ``(column_name, value)``."""
-    parts = [mentions.select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-             .distinct() for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    values = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
+    return mentions.select(F.explode(values).alias("v")).select("v.column_name", "v.value").distinct()
 
 
 def true_names(mentions: DataFrame, pronouns: list[str], lower: bool = False) -> DataFrame:
@@ -59,25 +55,27 @@ def true_names(mentions: DataFrame, pronouns: list[str], lower: bool = False) ->
 def gender_cohorts(mentions: DataFrame, she: list[str] = S.PROFILE_SHE, he: list[str] = S.PROFILE_HE,
                    lower: bool = False) -> DataFrame:
     """Names seen only with one gender: ``(name, gender)``, gender 'F' or 'M'."""
-    she_names = true_names(mentions, she, lower)
-    he_names = true_names(mentions, he, lower)
-    return (she_names.subtract(he_names).select("name", F.lit("F").alias("gender"))
-            .unionByName(he_names.subtract(she_names).select("name", F.lit("M").alias("gender"))))
+    per_name = _names_by_gender(mentions, she, he, lower)
+    return per_name.where("f <> m").select("name", F.when(F.col("f"), "F").otherwise("M").alias("gender"))
+
+
+def _names_by_gender(mentions: DataFrame, she: list[str], he: list[str], lower: bool) -> DataFrame:
+    """``(name, f, m)``: whether a name is the true answer for a pronoun of the one and of the other gender."""
+    f, m = C.pronoun_in(she, lower=lower), C.pronoun_in(he, lower=lower)
+    names = mentions.select(f.alias("f"), m.alias("m"), F.explode(F.array(
+        F.when(F.col("a_coref"), F.struct(F.col("a").alias("name"))),
+        F.when(F.col("b_coref"), F.struct(F.col("b").alias("name"))))).alias("n"))
+    return names.where("n is not null and (f or m)").groupBy(F.col("n.name").alias("name")).agg(
+        F.max("f").alias("f"), F.max("m").alias("m"))
 
 
 def cohort_counts(mentions: DataFrame, she: list[str] = S.PROFILE_SHE, he: list[str] = S.PROFILE_HE,
                   lower: bool = False) -> DataFrame:
     """A3: distinct-name counts per cohort and of the gender-exclusive names."""
-    she_names = true_names(mentions, she, lower).distinct()
-    he_names = true_names(mentions, he, lower).distinct()
-    tagged = (she_names.select("name", F.lit(1).alias("f"), F.lit(0).alias("m"))
-              .unionByName(he_names.select("name", F.lit(0).alias("f"), F.lit(1).alias("m"))))
-    per_name = tagged.groupBy("name").agg(F.max("f").alias("f"), F.max("m").alias("m"))
-    return per_name.agg(
-        F.sum("f").cast("long").alias("she_names"),
-        F.sum("m").cast("long").alias("he_names"),
-        F.sum(((F.col("f") == 1) & (F.col("m") == 0)).cast("long")).alias("she_only"),
-        F.sum(((F.col("m") == 1) & (F.col("f") == 0)).cast("long")).alias("he_only"))
+    per_name = _names_by_gender(mentions, she, he, lower)
+    count = lambda condition: F.coalesce(F.sum(F.expr(condition).cast("long")), F.lit(0)).cast("long")
+    return per_name.agg(count("f").alias("she_names"), count("m").alias("he_names"),
+                        count("f and not m").alias("she_only"), count("m and not f").alias("he_only"))
 
 
 # ------------------------------------------------------ contrast statistics ---

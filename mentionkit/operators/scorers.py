@@ -38,11 +38,11 @@ def name_gender_scores(mentions: DataFrame, cohort_source: DataFrame,
     extra = keep or []
     m = mentions.select("id", "a", "b", g.alias("g"), *extra)
     kept = [c for c in m.columns if c not in ("id", "a", "b", "g")]
-    ca = cohort.select(F.col("name").alias("a"), F.col("gender").alias("g"), F.lit(True).alias("a_hit"))
-    cb = cohort.select(F.col("name").alias("b"), F.col("gender").alias("g"), F.lit(True).alias("b_hit"))
-    hits = (m.join(ca, ["a", "g"], "left").join(cb, ["b", "g"], "left")
-            .select("id", *kept, F.coalesce("a_hit", F.lit(False)).alias("a_hit"),
-                    F.coalesce("b_hit", F.lit(False)).alias("b_hit")))
+    # a name has one gender at most, so it alone is the key; no aggregate, so that streams can be scored
+    ca = cohort.select(F.col("name").alias("a"), F.col("gender").alias("a_gender"))
+    cb = cohort.select(F.col("name").alias("b"), F.col("gender").alias("b_gender"))
+    hit = lambda c: F.coalesce(F.col(c) == F.col("g"), F.lit(False)).alias(c[0] + "_hit")
+    hits = m.join(ca, "a", "left").join(cb, "b", "left").select("id", *kept, hit("a_gender"), hit("b_gender"))
     any_hit = F.col("a_hit") | F.col("b_hit")
     u = F.lit(S.UNIFORM_P)
     return hits.select(
@@ -70,7 +70,8 @@ def syntax_points(targets: DataFrame, words: DataFrame, kind: str = "UPOS",
     ovp = ov.groupBy("id").agg(
         F.max(F.when(F.col("cand") == "A", F.col("overlap"))).alias("ov_a"),
         F.max(F.when(F.col("cand") == "B", F.col("overlap"))).alias("ov_b"))
-    x = piv.join(ovp, "id", "left")
+    # a mention none of whose targets has a word keeps its row, without points
+    x = targets.select("id").distinct().join(piv, "id", "left").join(ovp, "id", "left")
     p, a, b = (lambda c: F.col("p_" + c)), (lambda c: F.col("a_" + c)), (lambda c: F.col("b_" + c))
 
     def either(cond_a, cond_b, pts):
@@ -131,11 +132,12 @@ def top_predictions(candidates: DataFrame, k: int = 5) -> DataFrame:
                       (F.col("e") / F.sum("e").over(wid)).alias("prob"))
 
 
-def predict_with_plugin(prompts: DataFrame, factory, k: int = 5, key: str = "lm") -> DataFrame:
+def predict_with_plugin(prompts: DataFrame, factory, key: str = "lm") -> DataFrame:
     """K6: score ``(id, prompt)`` with a plug-in model loaded once per Python worker.
 
     ``factory()`` returns ``predict(list[str]) -> list[list[(token, logit)]]``;
-    it is called once per Arrow batch. Output ``(id, token, logit)`` feeds T2.
+    it is called once per Arrow batch. Output ``(id, token, logit)`` holds every candidate the model
+    gives, in any order; ranking and cutting is T2's.
     """
     import pandas as pd
 
@@ -145,7 +147,7 @@ def predict_with_plugin(prompts: DataFrame, factory, k: int = 5, key: str = "lm"
             fn = _MODELS[key] = factory()
         for pdf in batches:
             outs = fn(list(pdf["prompt"]))
-            rows = [(i, t, float(l)) for i, cands in zip(pdf["id"], outs) for t, l in cands[:k]]
+            rows = [(i, t, float(l)) for i, cands in zip(pdf["id"], outs) for t, l in cands]
             yield pd.DataFrame(rows, columns=["id", "token", "logit"])
 
     id_type = dict(prompts.dtypes)["id"]

@@ -103,16 +103,16 @@ def q_p15(spark, sf_dir):
 
 
 def _stand_in_model():
-    """A tiny next-word model for the plug-in path: name-shaped words of the prompt by frequency."""
+    """A stand-in for a next-word model, to run the plug-in path: name-shaped words of the prompt by frequency."""
     import collections
-    import regex
-    pat = regex.compile(r"\b\p{Lu}\p{Ll}{2,}\b")
+    import re
+    word = re.compile(r"\w+")
 
     def predict(prompts):
         out = []
         for p in prompts:
-            cnt = collections.Counter(pat.findall(p))
-            out.append(sorted(((t, float(c)) for t, c in cnt.items()), key=lambda x: (-x[1], x[0])))
+            names = (w for w in word.findall(p) if len(w) > 2 and w[0].isupper() and w[1:].islower() and w.isalpha())
+            out.append([(t, float(c)) for t, c in collections.Counter(names).items()])
         return out
     return predict
 

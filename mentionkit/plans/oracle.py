@@ -7,6 +7,8 @@ with the same integer rules as the Spark plans.
 
 from __future__ import annotations
 
+import re
+
 from mentionkit import schema as S
 
 
@@ -98,6 +100,11 @@ def add_cte(name: str, sql: str) -> None:
 
 
 def with_ctes(final_select: str, extra: list[tuple[str, str]] | None = None) -> str:
-    parts = [f"{n} AS ({_registry[n].strip()})" for n in _order]
-    parts += [f"{n} AS ({sql.strip()})" for n, sql in (extra or [])]
-    return "WITH " + ",\n".join(parts) + "\n" + final_select.strip()
+    """``final_select`` behind the shared and ``extra`` tables that it needs, each computed once."""
+    tables = [(n, _registry[n].strip()) for n in _order] + [(n, sql.strip()) for n, sql in (extra or [])]
+    needed, text = [], final_select
+    for name, sql in reversed(tables):
+        if re.search(rf"\b{name}\b", text):
+            needed.append(f"{name} AS MATERIALIZED ({sql})")
+            text += "\n" + sql
+    return "WITH " + ",\n".join(reversed(needed)) + "\n" + final_select.strip()
