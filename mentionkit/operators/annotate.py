@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mentionkit import schema as S
+from mentionkit.operators.plugins import worker_model
 
 WORD_COLUMNS = ["doc_id", "wi", "sent", "idx", "o", "lo", "nb", "pb", "word", "lemma",
                 "upos", "xpos", "governor", "deprel"]
@@ -133,39 +134,62 @@ def sentence_bounds(words: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Plug-in annotator (a real parser): mapInPandas over distinct passages.
+# Plug-in annotator (a real parser): mapInPandas over distinct texts.
 # ---------------------------------------------------------------------------
-_PLUGIN_CACHE: dict = {}
+PLUGIN_OUTPUT = ("th string, wi int, sent int, idx int, o int, lo int, nb int, pb int, word string, lemma string, "
+                 "upos string, xpos string, governor int, deprel string")
+#: Word rows that a task holds before it hands them on.
+PLUGIN_ROWS = 10_000
+_BLANKS = " \t\r\n"
 
-PLUGIN_OUTPUT = ("doc_id long, wi int, idx int, o int, word string, lemma string, upos string, "
-                 "xpos string, governor int, deprel string")
+
+def place_words(text: str, parsed: list[dict]) -> Iterator[tuple]:
+    """A parser's words of one text as rows of ``words`` without the passage.
+
+    ``wi`` and ``sent`` are counted, ``lo``, ``nb`` and ``pb`` follow from the offset ``o`` and the text:
+    the end of what stands before the word's blanks, the non-blank characters and the pieces before it.
+    """
+    sent, at, nb, pb = -1, 0, 0, 0
+    for wi, w in enumerate(parsed):
+        o, word = int(w["o"]), w["word"]
+        nb += sum(c not in _BLANKS for c in text[at:o]) if o >= at else -sum(c not in _BLANKS for c in text[o:at])
+        at, lo = o, o
+        while lo > 0 and text[lo - 1] in _BLANKS:
+            lo -= 1
+        sent += int(w["idx"]) == 1
+        yield (wi, sent, int(w["idx"]), o, lo, nb, pb, word, w.get("lemma"), w.get("upos"), w.get("xpos"),
+               int(w["governor"]), w.get("deprel"))
+        pb += -(-len(word) // S.PIECE_WIDTH)
 
 
 def annotate_with_plugin(passages: DataFrame, factory: Callable[[], Callable[[str], list[dict]]],
                          key: str = "default") -> DataFrame:
-    """Run ``factory()`` once per Python worker; it returns ``annotate(text) -> [word dict]``.
+    """``words`` by a plug-in parser: ``factory()`` returns ``parse(text) -> [word dict]``.
 
-    Each word dict carries ``idx, o, word, lemma, upos, xpos, governor, deprel``
-    (``idx``/``governor`` 1-based within the sentence, governor 0 = root).
-    Passages are de-duplicated first so each distinct text is parsed once.
+    The parser is made once per Python worker. Each word dict carries ``idx, o, word, lemma, upos, xpos,
+    governor, deprel`` (``idx``/``governor`` 1-based within the sentence, governor 0 = root, ``o`` the
+    code-point offset). Each distinct text is parsed once, whatever passages hold it; the words come
+    back to the passages by the text's hash.
     """
-    distinct = passages.select("doc_id", "text").dropDuplicates(["doc_id"])
+    get = worker_model(factory, key)
+    own = passages.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.sha2("text", 256))
+    distinct = own.select("th", "text").dropDuplicates(["th"])
+    columns = [c.split()[0] for c in PLUGIN_OUTPUT.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = _PLUGIN_CACHE.get(key)
-        if fn is None:
-            fn = _PLUGIN_CACHE[key] = factory()
-        cols = ["doc_id", "wi", "idx", "o", "word", "lemma", "upos", "xpos", "governor", "deprel"]
+        parse, rows = get(), []
         for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                for wi, w in enumerate(fn(text or "")):
-                    rows.append((doc_id, wi, int(w["idx"]), w.get("o"), w["word"], w.get("lemma"),
-                                 w.get("upos"), w.get("xpos"), int(w["governor"]), w.get("deprel")))
-            yield pd.DataFrame(rows, columns=cols)
-
-    out = distinct.mapInPandas(run, PLUGIN_OUTPUT)
-    return sentence_numbers(out)
+            for th, text in zip(pdf["th"], pdf["text"]):
+                for row in place_words(text, parse(text)):
+                    rows.append((th, *row))
+                    if len(rows) >= PLUGIN_ROWS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    words = distinct.mapInPandas(run, PLUGIN_OUTPUT)
+    return own.select("doc_id", "th").distinct().join(words, "th").select(*WORD_COLUMNS)
 
 
 def lemma_of_phrase(phrase: Column) -> Column:

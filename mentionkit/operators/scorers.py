@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mentionkit import schema as S
 from mentionkit.functions import columns as C
+from mentionkit.operators.plugins import worker_model
 from mentionkit.operators.profile import gender_cohorts
 
 PRED_COLUMNS = ["id", "p_a", "p_b", "p_neither"]
@@ -141,10 +142,10 @@ def predict_with_plugin(prompts: DataFrame, factory, key: str = "lm") -> DataFra
     """
     import pandas as pd
 
+    get = worker_model(factory, key)
+
     def run(batches):
-        fn = _MODELS.get(key)
-        if fn is None:
-            fn = _MODELS[key] = factory()
+        fn = get()
         for pdf in batches:
             outs = fn(list(pdf["prompt"]))
             rows = [(i, t, float(l)) for i, cands in zip(pdf["id"], outs) for t, l in cands]
@@ -154,9 +155,6 @@ def predict_with_plugin(prompts: DataFrame, factory, key: str = "lm") -> DataFra
     return prompts.select("id", "prompt").mapInPandas(run, f"id {id_type}, token string, logit double")
 
 
-_MODELS: dict = {}
-
-
 # R4 -------------------------------------------------------------------------
 def prefix_scores(targets: DataFrame, words: DataFrame, predictions: DataFrame,
                   min_prob: float = S.MIN_PREDICTION_PROB) -> DataFrame:

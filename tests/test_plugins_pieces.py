@@ -58,3 +58,40 @@ def test_scorer_registry(spark):
     R.register_scorer("always_a", lambda df: df.select("id", F.lit(1.0).alias("p_a"), F.lit(0.0).alias("p_b"),
                                                        F.lit(0.0).alias("p_neither")))
     assert m.transform(R.get_scorer("always_a")).first()["p_a"] == 1.0
+
+
+def test_plugin_words_align_and_join_like_built_in_ones(spark):
+    """A plug-in that repeats the built-in rules gives the built-in table, and J8, W1 and F1 run on it."""
+    from mentionkit.operators import align, tree, windows
+    rows = [(1, "Ann met Bob. She left,  he\tstayed!"), (2, "Ann met Bob. She left,  he\tstayed!"), (3, "He saw Eve."), (4, None)]
+    p = spark.createDataFrame(rows, "doc_id long, text string")
+    built_in = annotate(p)
+    known = {(r["doc_id"], r["wi"]): r for r in built_in.collect()}
+    by_text = {t: [known[d, i].asDict() for i in range(sum(k[0] == d for k in known))] for d, t in rows if t}
+
+    def factory():
+        return lambda text: by_text.get(text, [])
+
+    words = annotate_with_plugin(p, factory, key="same-rules")
+    assert sorted(map(tuple, words.collect())) == sorted(map(tuple, built_in.select(*words.columns).collect()))
+    m = spark.createDataFrame([(10, 1, "She", 13, "Ann", 0, "Bob", 8)], "id long, doc_id long, pronoun string, "
+                              "pronoun_offset int, a string, a_offset int, b string, b_offset int")
+    for use in (lambda w: align.targets_of(m, w), lambda w: windows.tag_window(align.targets_of(m, w), w),
+                lambda w: tree.dependency_bag(align.targets_of(m, w), w)):
+        assert sorted(map(str, use(words).collect())) == sorted(map(str, use(built_in).collect()))
+
+
+def test_plugin_model_is_made_once_in_a_worker(spark):
+    import os
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="mk-calls-")
+
+    def factory():
+        open(os.path.join(folder, f"{os.getpid()}-{len(os.listdir(folder))}"), "w").close()
+        return lambda ps: [[("x", 1.0)] for _ in ps]
+
+    prompts = spark.range(64).selectExpr("id", "'p' AS prompt").repartition(32)
+    for _ in range(2):
+        assert R.predict_with_plugin(prompts, factory, key="count").count() == 64
+    calls = os.listdir(folder)
+    assert len(calls) == len({c.split("-")[0] for c in calls}) < 32
