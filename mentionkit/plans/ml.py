@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +30,9 @@ FAMILIES = ["position", "dependency"]
 
 
 def split_of(id_col="id") -> F.Column:
-    """Deterministic split: train / validation / test by a hash of the id (3 / 1 / 1 of 5)."""
-    r = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(5))
+    """Deterministic split: train / validation / test by ``id mod 5`` (3 / 1 / 1); other ids by their hash."""
+    own = F.col(id_col).cast("string")
+    r = F.pmod(F.coalesce(own.try_cast("bigint"), F.xxhash64(own)), F.lit(5))
     return F.when(r < 3, "train").when(r == 3, "validation").otherwise("test")
 
 
@@ -60,23 +61,18 @@ def _vocab_index(spark) -> tuple[DataFrame, dict[str, int]]:
 
 
 def _dense(entries: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Gather ``(keys..., idx, val)`` entries (sorted JVM-side) into a sparse feature vector.
+    """Gather ``(keys..., idx, val)`` entries into a feature vector of ``size`` dimensions, in the JVM.
 
-    The gather is bounded per row (one window / tree bag per target); the only
-    Python is the per-row constructor of the ``SparseVector`` at the ML boundary.
+    The gather is bounded per row (one window / tree bag per target). Between two sorted entries lie
+    as many zeros as their places are apart, and the pieces are flattened into the vector's values.
     """
     g = entries.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         F.col("idx").cast("int").alias("i"), F.col("val").cast("double").alias("v")))).alias("e"))
-    return g.select(*keys, _sparse(size)(F.col("e.i"), F.col("e.v")).alias("features"))
-
-
-def _sparse(size: int):
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT())
-    def build(idx, val):
-        return SparseVector(size, idx, val)
-    return build
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    pieces = F.transform("e", lambda x, j: F.concat(
+        zeros(x["i"] - F.coalesce(F.get("e", j - 1)["i"], F.lit(-1)) - 1), F.array(x["v"])))
+    values = F.concat(F.flatten(pieces), zeros(F.lit(size - 1) - F.get("e", F.size("e") - 1)["i"]))
+    return g.select(*keys, array_to_vector(values).alias("features"))
 
 
 @dataclass
@@ -201,7 +197,7 @@ def ranker_predictions(model, pairs: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ search ---
 GBT_SPACE = {
     "stepSize": ("loguniform", 0.001, 0.1),
-    "maxDepth": ("int", 3, 8),
+    "maxDepth": ("int", 3, 25),
     "minInfoGain": ("loguniform", 0.0005, 0.01),
     "minInstancesPerNode": ("int", 1, 7),
     "subsamplingRate": ("choice", [0.6, 0.7, 0.8, 0.9, 1.0]),
@@ -229,9 +225,11 @@ def sample_params(space: dict, n: int, seed: int = 0) -> list[dict]:
 
 
 def search_pairwise(train: DataFrame, validation: DataFrame, truth_validation: DataFrame,
-                    trials: int = 4, seed: int = 0, parallel: int = 2, max_iter: int = 20):
+                    trials: int = 100, seed: int = 0, parallel: int = 2, max_iter: int = 100):
     """K3: fit each sampled parameter map on train, score log loss (A9 over R6) on the
-    given validation split; trials run as concurrent Spark jobs from a small thread pool."""
+    given validation split; trials run as concurrent Spark jobs from a small thread pool.
+
+    ``trials`` maps of ``max_iter`` boosting rounds each; the best map, its loss and all results."""
     grid = sample_params(GBT_SPACE, trials, seed)
 
     def run(params):
@@ -243,3 +241,18 @@ def search_pairwise(train: DataFrame, validation: DataFrame, truth_validation: D
         results = list(ex.map(run, grid))
     best_ll, best = min(results, key=lambda r: r[0])
     return best, best_ll, results
+
+
+def search_and_refit(pairs: DataFrame, mentions: DataFrame, trials: int = 100, seed: int = 0, max_iter: int = 100):
+    """K3 to the end: search on train / validation, refit the best map on both (U3); the model and the trials."""
+    part = lambda name: pairs.where(F.col("split") == name)
+    truth = E.truth_table(mentions.where(split_of() == "validation"))
+    best, _, results = search_pairwise(part("train"), part("validation"), truth, trials, seed, max_iter=max_iter)
+    return gbt(maxIter=max_iter, **best).fit(pairs.where(F.col("split") != "test")), results
+
+
+def staged_pairs(cx) -> DataFrame:
+    """The assembled pairwise table of a corpus context, staged once (S4) for fits and predictions."""
+    from mentionkit.sources.staging import staged
+    return staged(cx.targets.sparkSession, "pair_features", cx.key,
+                  lambda: pair_features(cx.corpus.mentions, staged_counts(cx)))
