@@ -156,10 +156,10 @@ def predict_with_plugin(prompts: DataFrame, factory, key: str = "lm") -> DataFra
 
 
 # R4 -------------------------------------------------------------------------
-def prefix_scores(targets: DataFrame, words: DataFrame, predictions: DataFrame,
-                  min_prob: float = S.MIN_PREDICTION_PROB) -> DataFrame:
-    """For A and B: the best-ranked predicted token that prefixes the candidate word,
-    with prob >= min_prob (empty tokens never match); none for both -> undecided."""
+def prefix_rates(targets: DataFrame, words: DataFrame, predictions: DataFrame,
+                 min_prob: float = S.MIN_PREDICTION_PROB) -> DataFrame:
+    """``(id, ra, rb)``: for A and B the probability of the best-ranked predicted token that prefixes the
+    candidate word, with prob >= min_prob (empty tokens never match); 0 where there is none."""
     tw = (targets.where(F.col("role") != "P")
           .join(words.select("doc_id", "wi", F.col("word").alias("cand_word")), ["doc_id", "wi"])
           .select("id", "role", "cand_word"))
@@ -170,8 +170,21 @@ def prefix_scores(targets: DataFrame, words: DataFrame, predictions: DataFrame,
         F.max(F.when(F.col("role") == "A", F.col("rate"))).alias("ra"),
         F.max(F.when(F.col("role") == "B", F.col("rate"))).alias("rb"))
     ids = targets.select("id").distinct()
-    x = ids.join(rates, "id", "left").select("id", F.coalesce("ra", F.lit(0.0)).alias("ra"),
-                                             F.coalesce("rb", F.lit(0.0)).alias("rb"))
+    return ids.join(rates, "id", "left").select("id", F.coalesce("ra", F.lit(0.0)).alias("ra"),
+                                                F.coalesce("rb", F.lit(0.0)).alias("rb"))
+
+
+def prefix_features(targets: DataFrame, words: DataFrame, first: DataFrame, second: DataFrame,
+                    min_prob: float = S.MIN_PREDICTION_PROB) -> DataFrame:
+    """The four-feature variant: R4's rates under the predictions of two prompts, ``(id, a1, b1, a2, b2)``."""
+    x = prefix_rates(targets, words, first, min_prob).toDF("id", "a1", "b1")
+    return x.join(prefix_rates(targets, words, second, min_prob).toDF("id", "a2", "b2"), "id")
+
+
+def prefix_scores(targets: DataFrame, words: DataFrame, predictions: DataFrame,
+                  min_prob: float = S.MIN_PREDICTION_PROB) -> DataFrame:
+    """The rates normalised; no match for both -> undecided."""
+    x = prefix_rates(targets, words, predictions, min_prob)
     none = (F.col("ra") == 0) & (F.col("rb") == 0)
     tot = F.col("ra") + F.col("rb")
     und = S.UNDECIDED

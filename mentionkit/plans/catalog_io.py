@@ -13,7 +13,7 @@ from mentionkit.operators import scorers as R
 from mentionkit.operators import windows as W
 from mentionkit.plans import ml as M
 from mentionkit.plans.catalog import _eval_sql, register
-from mentionkit.plans.catalog_features import W6_SQL, _H3_SQL, _H5_SQL
+from mentionkit.plans.catalog_features import W6_SQL, W7_SQL, _H3_SQL, _H5_SQL
 from mentionkit.plans.catalog_scorers import R5_SQL, _r5
 from mentionkit.plans.fixture import load_context, load_corpus
 from mentionkit.plans.oracle import with_ctes
@@ -117,15 +117,61 @@ def _stand_in_model():
     return predict
 
 
-@register("k6_plugin_prefix_scores")
+def _plugin_sql(prompts: str, n: int) -> list[tuple[str, str]]:
+    """What the stand-in model makes of the prompts of a table, and R4's rates under it (``rates<n>``)."""
+    return [
+        (f"said{n}", f"""SELECT id, token, CAST(count(*) AS DOUBLE) AS logit
+FROM (SELECT id, unnest(regexp_extract_all(prompt, '[\\p{{L}}\\p{{N}}_]+')) AS token FROM {prompts})
+WHERE regexp_full_match(token, '\\p{{Lu}}\\p{{Ll}}{{2,}}') GROUP BY id, token"""),
+        (f"top{n}", f"""SELECT id, rank, token, exp(logit - mx) / sum(exp(logit - mx)) OVER (PARTITION BY id) AS prob
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY logit DESC, token ASC) AS rank,
+             max(logit) OVER (PARTITION BY id) AS mx FROM said{n}) WHERE rank <= 5"""),
+        (f"match{n}", f"""SELECT t.id, t.role, arg_min(p.prob, p.rank) AS rate
+FROM targets t JOIN words w ON w.doc_id = t.doc_id AND w.wi = t.wi JOIN top{n} p ON p.id = t.id
+WHERE t.role <> 'P' AND p.prob >= {S.MIN_PREDICTION_PROB} AND starts_with(w.word, p.token) GROUP BY t.id, t.role"""),
+        (f"rates{n}", f"""SELECT i.id, coalesce(a.rate, 0.0) AS ra, coalesce(b.rate, 0.0) AS rb
+FROM (SELECT DISTINCT id FROM targets) i
+LEFT JOIN match{n} a ON a.id = i.id AND a.role = 'A' LEFT JOIN match{n} b ON b.id = i.id AND b.role = 'B'""")]
+
+
+_QUESTION_SQL = [("w6", W6_SQL), ("asked", """
+SELECT s.id, s.scope || chr(10) || 'Q: What''s '
+  || CASE WHEN lower(m.pronoun) IN ('she', 'her') THEN 'her' ELSE 'his' END || ' name?' || chr(10) || 'A:' AS prompt
+FROM w6 s JOIN mentions m ON m.id = s.id""")] + _plugin_sql("asked", 1)
+_BEFORE_SQL = [("w7", W7_SQL), ("continued", """
+SELECT s.id, s.scope || chr(10) || b.before AS prompt FROM w6 s JOIN w7 b ON b.id = s.id""")] + _plugin_sql("continued", 2)
+
+
+def _plugin_predictions(cx, second: bool = False):
+    """T2 over the plug-in's candidates after the scope and the question, or the text before the pronoun."""
+    sc = W.scope_text(cx.targets, cx.near_words, cx.corpus.passages)
+    if second:
+        before = W.text_before_pronoun(cx.targets, cx.near_words, cx.corpus.passages)
+        prompts = sc.join(before, "id").select("id", F.concat_ws("\n", "scope", "before").alias("prompt"))
+    else:
+        prompts = sc.join(cx.corpus.mentions.select("id", "pronoun"), "id").select(
+            "id", C.name_prompt("scope", "pronoun").alias("prompt"))
+    return R.top_predictions(R.predict_with_plugin(prompts, _stand_in_model))
+
+
+@register("k6_plugin_prefix_scores", with_ctes(f"""
+SELECT id, CAST(CASE WHEN ra = 0 AND rb = 0 THEN {S.UNDECIDED[0]} ELSE ra / (ra + rb) END AS DOUBLE) AS p_a,
+  CAST(CASE WHEN ra = 0 AND rb = 0 THEN {S.UNDECIDED[1]} ELSE rb / (ra + rb) END AS DOUBLE) AS p_b,
+  CAST(CASE WHEN ra = 0 AND rb = 0 THEN {S.UNDECIDED[2]} ELSE 0.0 END AS DOUBLE) AS p_neither
+FROM rates1""", _QUESTION_SQL), doubles=["p_a", "p_b", "p_neither"])
 def q_k6(spark, sf_dir):
-    """K6 plug-in: prompts scored in Arrow batches by a model loaded once per worker, then T2 + R4."""
+    """K6 plug-in: prompts scored in Arrow batches by a model made once in a worker, then T2 + R4."""
     cx = load_context(spark, sf_dir)
-    sc = W.scope_text(cx.targets, cx.near_words, cx.corpus.passages)
-    prompts = sc.join(cx.corpus.mentions.select("id", "pronoun"), "id").select(
-        "id", C.name_prompt("scope", "pronoun").alias("prompt"))
-    cand = R.predict_with_plugin(prompts, _stand_in_model)
-    return R.prefix_scores(cx.targets, cx.near_words, R.top_predictions(cand))
+    return R.prefix_scores(cx.targets, cx.near_words, _plugin_predictions(cx))
+
+
+@register("r4_prefix_features_two_prompts", with_ctes("""
+SELECT a.id, CAST(a.ra AS DOUBLE) AS a1, CAST(a.rb AS DOUBLE) AS b1, CAST(b.ra AS DOUBLE) AS a2, CAST(b.rb AS DOUBLE) AS b2
+FROM rates1 a JOIN rates2 b ON b.id = a.id""", _QUESTION_SQL + _BEFORE_SQL), doubles=["a1", "b1", "a2", "b2"])
+def q_r4_features(spark, sf_dir):
+    """R4's four features: scope and question, scope and the text before the pronoun."""
+    cx = load_context(spark, sf_dir)
+    return R.prefix_features(cx.targets, cx.near_words, _plugin_predictions(cx), _plugin_predictions(cx, second=True))
 
 
 _COUNTS_SQL = ("cnt", f"{_H3_SQL} UNION ALL {_H5_SQL}")
