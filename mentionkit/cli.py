@@ -1,36 +1,35 @@
 """Score a mention TSV with a named scorer, write ``ID,A,B,NEITHER`` and print the log loss.
 
     python -m mentionkit.cli --input mentions.tsv --output predictions_dir --scorer cascade
+
+``--plugin my_scorers`` imports a module first, which may register scorers of its own by name.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
-from mentionkit.operators import evaluate as E
 from mentionkit.operators import scorers as R
 from mentionkit.plans.fixture import load_tsv_context
 from mentionkit.session import build_session
 from mentionkit.sources import tsv
 
 
-def predictions(cx, scorer: str):
-    if scorer in ("constant", "name_gender"):
-        return cx.corpus.mentions.transform(R.get_scorer(scorer))
-    return R.context_scorer(scorer, cx.near_words if scorer == "syntax" else cx.corpus.words)(cx.targets)
-
-
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(description=__doc__)
     ap.add_argument("--input", required=True, help="mention TSV (header, tab separated)")
     ap.add_argument("--output", required=True, help="directory for the prediction CSV")
-    ap.add_argument("--scorer", default="cascade",
-                    choices=["constant", "name_gender", "syntax", "prefix", "cascade"])
+    ap.add_argument("--scorer", default="cascade", help="a registered scorer's name")
+    ap.add_argument("--plugin", action="append", default=[], help="module that registers scorers (repeatable)")
     args = ap.parse_args(argv)
+    for module in args.plugin:
+        importlib.import_module(module)
+    if args.scorer not in R.scorer_names():
+        ap.error(f"no scorer {args.scorer!r}; there are {', '.join(R.scorer_names())}")
     spark = build_session()
     cx = load_tsv_context(spark, args.input)
-    pred = predictions(cx, args.scorer)
-    tsv.write_predictions(pred, args.output)
+    tsv.write_predictions(R.score_context(cx, args.scorer), args.output)
     score = tsv.score_files(spark, args.input, args.output).first()
     print(score["log_loss"])
 

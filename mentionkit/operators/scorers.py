@@ -249,11 +249,36 @@ SCORERS: dict[str, Callable[..., DataFrame]] = {
     "name_gender": _name_gender,
 }
 
+#: Scorers by name over a corpus context (``corpus``, ``targets``, ``near_words``), rules and plug-ins alike.
+CONTEXT_SCORERS: dict[str, Callable[..., DataFrame]] = {
+    "syntax": lambda cx: context_scorer("syntax", cx.near_words)(cx.targets),
+    "prefix": lambda cx: context_scorer("prefix", cx.corpus.words)(cx.targets),
+    "cascade": lambda cx: context_scorer("cascade", cx.corpus.words)(cx.targets),
+}
+
 
 def register_scorer(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     """Plug-in scorer: ``fn(df) -> DataFrame[id, p_a, p_b, p_neither]`` used with ``df.transform``."""
     SCORERS[name] = fn
 
 
+def register_context_scorer(name: str, fn: Callable[..., DataFrame]) -> None:
+    """Plug-in scorer over a whole context: ``fn(cx) -> DataFrame[id, p_a, p_b, p_neither]``."""
+    CONTEXT_SCORERS[name] = fn
+
+
 def get_scorer(name: str) -> Callable[..., DataFrame]:
     return SCORERS[name]
+
+
+def scorer_names() -> list[str]:
+    return sorted({*SCORERS, *CONTEXT_SCORERS})
+
+
+def score_context(cx, name: str) -> DataFrame:
+    """Predictions of a context's mentions by any registered scorer."""
+    if name in CONTEXT_SCORERS:
+        return CONTEXT_SCORERS[name](cx)
+    if name in SCORERS:
+        return cx.corpus.mentions.transform(SCORERS[name])
+    raise ValueError(f"no scorer {name!r}; there are {', '.join(scorer_names())}")
