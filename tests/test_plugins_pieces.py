@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from mentionkit.operators import scorers as R
 from mentionkit.operators import wordpiece as WP
 from mentionkit.operators.annotate import annotate, annotate_with_plugin, tokenize_words
+from mentionkit.plans import standins as ST
 
 
 def test_annotator_plugin_parses_each_distinct_passage_once(spark):
@@ -37,7 +38,7 @@ def test_next_word_plugin_feeds_top_predictions(spark):
 
 def test_packing_flags_overlong_without_truncating(spark):
     p = spark.createDataFrame([(1, "short text"), (2, " ".join(["word"] * 600))], "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in WP.pack_features(p).collect()}
+    rows = {r["doc_id"]: r for r in WP.pack_features(ST.piece_array(p), ST.piece_id).collect()}
     assert rows[1]["reason"] is None and len(rows[1]["input_ids"]) == 512 and rows[1]["tokens"][0] == "[CLS]"
     assert sum(rows[1]["input_mask"]) == rows[1]["n_tokens"]
     assert rows[2]["reason"] is not None and rows[2]["n_tokens"] == 602 and len(rows[2]["input_ids"]) == 602
@@ -45,8 +46,8 @@ def test_packing_flags_overlong_without_truncating(spark):
 
 def test_running_piece_offsets_equal_closed_form(spark):
     p = spark.createDataFrame([(1, "Abcdefghij kl, mnopq.\nRst uvwxyzab!")], "doc_id long, text string")
-    win = {(r["wi"], r["piece"]): r["pos"] for r in WP.piece_offsets(p).collect()}
-    closed = {(r["wi"], r["piece"]): r["pos"] for r in WP.near_pieces(tokenize_words(p)).collect()}
+    win = {(r["wi"], r["piece"]): r["pos"] for r in WP.piece_offsets(ST.piece_array(p)).collect()}
+    closed = {(r["wi"], r["piece"]): r["pos"] for r in ST.near_pieces(tokenize_words(p)).collect()}
     assert win == closed and ("0", "abcd") not in win and win[(0, "##efgh")] == 4
 
 

@@ -2,6 +2,7 @@ from conftest import make_targets, make_words
 
 from mentionkit.operators import windows as W
 from mentionkit.operators import wordpiece as WP
+from mentionkit.plans import standins as ST
 
 # three sentences; idx restarts at 1; governors inside the sentence
 TEXT_WORDS = [("Ann", 1, 2), ("met", 2, 0), ("Bob", 3, 2), (".", 4, 2),
@@ -44,7 +45,7 @@ def test_pooling_sums_pronoun_and_averages_candidates(spark):
                                     "id long, role string, wi int, piece string")
     # vec_id = (7 wi + len) mod 4 -> P/A pieces map to 2 and 0
     got = {r["role"]: (r["n_pieces"], [round(v, 6) for v in r["vec"]])
-           for r in WP.pooled_embeddings(matched, emb).collect()}
+           for r in WP.pool_spans(ST.with_vectors(matched, emb)).collect()}
     assert got == {"P": (2, [2.0, 2.0]), "A": (2, [1.0, 1.0])}
 
 
@@ -52,6 +53,20 @@ def test_cosine_features(spark):
     emb = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     chosen = spark.createDataFrame([(1, "P", 1, 0, "x"), (1, "A", 2, 0, "xx"), (1, "B", 3, 0, "y")],
                                    "id long, role string, j int, wi int, piece string")
-    r = WP.cosine_features(chosen, emb).first()
+    r = WP.cosine_features(ST.with_vectors(chosen, emb)).first()
     # P -> vec 1 (len 1), A -> vec 2 (len 2), B -> vec 1
     assert abs(r["cos_pa"] - 2 ** -0.5) < 1e-9 and abs(r["cos_pb"] - 1.0) < 1e-9
+
+
+def test_roles_side_by_side_on_every_layer(spark):
+    rows = [(1, "P", 0, [1.0, 2.0]), (1, "P", 0, [3.0, 4.0]), (1, "B", 0, [5.0, 7.0]), (1, "B", 0, [6.0, 8.0]),
+            (1, "A", 1, [9.0, 9.5])]
+    pooled = WP.pool_spans(spark.createDataFrame(rows, "id long, role string, layer int, vector array<double>"))
+    got = {r["layer"]: r["vec"] for r in WP.concat_roles(pooled).collect()}
+    assert got == {0: [4.0, 6.0, 0.0, 0.0, 5.5, 7.5], 1: [0.0, 0.0, 9.0, 9.5, 0.0, 0.0]}
+
+
+def test_cosine_features_give_the_vectors_too(spark):
+    v = spark.createDataFrame([(1, "P", [1.0, 0.0]), (1, "A", [0.0, 2.0])], "id long, role string, vector array<double>")
+    r = WP.cosine_features(v, with_vectors=True).first()
+    assert (r["cos_pa"], r["cos_pb"], r["p"], r["a"], r["b"]) == (0.0, None, [1.0, 0.0], [0.0, 2.0], None)
