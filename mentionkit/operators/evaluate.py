@@ -114,9 +114,8 @@ def first_errors(truth: DataFrame, pred: DataFrame, n: int = 20) -> DataFrame:
 
 def error_listing(truth: DataFrame, pred: DataFrame, features: DataFrame, n: int = 20) -> DataFrame:
     """K8: T3 joined to the long features of each wrong row, bag per (id, role, family)."""
-    errs = first_errors(truth, pred, n)
-    bags = (features.join(errs.select("id"), "id", "left_semi")
-            .groupBy("id", "role", "family")
-            .agg(F.sort_array(F.collect_list(F.concat_ws(":", "feature", F.col("cnt").cast("string"))))
-                 .alias("bag")))
-    return errs.join(bags, "id", "left")
+    errs = first_errors(truth, pred, n)         # computed once: its few rows meet the features by id
+    term = F.when(F.col("feature").isNotNull(), F.concat_ws(":", "feature", F.col("cnt").cast("string")))
+    return (errs.join(features, "id", "left").groupBy(*errs.columns, "role", "family")
+            .agg(F.sort_array(F.collect_list(term)).alias("terms"))
+            .select(*errs.columns, "role", "family", F.when(F.col("role").isNotNull(), F.col("terms")).alias("bag")))
