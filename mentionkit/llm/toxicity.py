@@ -40,6 +40,8 @@ SMOOTHING = 1.0
 RIDGE = 1e-2
 STEPS = 100
 WORD_CACHE = 200_000
+#: Words whose n-grams are laid out at a time.
+NEW_WORDS = 10_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -179,10 +181,12 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(z, -700, 700)))).tolist()
 
     def _learn(self, new: list[bytes]) -> None:
-        row, bucket = word_ngrams(new)
-        pairs = distinct(row * BUCKETS + bucket)  # a feature counts once in a word
-        sums = np.bincount(pairs >> BUCKET_BITS, self.weights[pairs & (BUCKETS - 1)], minlength=len(new))
-        self.of_word.update(zip(new, sums.tolist()))
+        for at in range(0, len(new), NEW_WORDS):
+            words = new[at:at + NEW_WORDS]
+            row, bucket = word_ngrams(words)
+            pairs = distinct(row * BUCKETS + bucket)  # a feature counts once in a word
+            sums = np.bincount(pairs >> BUCKET_BITS, self.weights[pairs & (BUCKETS - 1)], minlength=len(words))
+            self.of_word.update(zip(words, sums.tolist()))
 
 
 def with_score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
