@@ -6,10 +6,11 @@ From the labelled training rows come, per feature, the log ratio of its smoothed
 classes; a logistic regression is fitted on values times ratios. Score: the logistic of the sum.
 
 Scale. The fit reads a bounded sample (``ROWS_PER_CLASS`` of each class); feature counts of the
-sample are summed in Spark and reach the driver as at most ``BUCKETS`` rows, then the
-``MAX_FEATURES`` features kept are gathered per sampled document. Scoring is one pass over the texts
-without a shuffle; the broadcast model is one float per bucket. A task keeps the scores of words it
-has met, at most ``WORD_CACHE``.
+sample are summed in Spark and reach the driver as at most ``BUCKETS`` rows. Every feature of
+``LEAST_DOCS`` documents is kept; the sampled documents' features stay in a table, and Spark fits the
+regression on it to convergence, with one gradient of ``BUCKETS`` numbers a step. Scoring is one pass
+over the texts without a shuffle; the broadcast model is one float per bucket. A task keeps the scores
+of words it has met, at most ``WORD_CACHE``.
 
 Defined results: a null or empty text has no features and scores the intercept. Without labelled rows
 of both classes every score is the share of ones (0 where there is no label). Repeated rows each give
@@ -19,26 +20,30 @@ a row. An empty table gives no rows. Only ``text`` is an input of a score.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from mentionkit.llm.common import CHUNK_ROWS, python_rows, text_bytes
+from mentionkit.llm.common import CHUNK_ROWS, materialise, python_rows, text_bytes
 from mentionkit.llm.labelled import ROWS_PER_CLASS, labelled_sample, prior_shift, share_of_ones
 
 NGRAMS = (2, 3, 4, 5, 6)
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
-#: Features in fewer sampled documents are left out; of the others the most telling are kept: what a
-#: document has of these reaches the driver, some 100 numbers each.
+#: Features in fewer sampled documents are left out.
 LEAST_DOCS = 5
-MAX_FEATURES = 1 << 12
 SMOOTHING = 1.0
-RIDGE = 1e-2
-STEPS = 100
+RIDGE = 1e-4
+#: The fit ends when a step gains less than this share; it warns if it has not after so many steps.
+TOLERANCE = 1e-6
+MOST_STEPS = 1000
 WORD_CACHE = 200_000
 #: Words whose n-grams are laid out at a time.
 NEW_WORDS = 10_000
@@ -87,23 +92,6 @@ def document_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 # -------------------------------------------------------------------- fit ---
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int,
-                 ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on (row, column, value) entries: Adagrad over all rows."""
-    n = len(y)
-    w, b = np.zeros(width), 0.0
-    gw, gb = np.full(width, 1e-8), 1e-8
-    for _ in range(steps):
-        z = b + np.bincount(rows, values * w[cols], minlength=n)
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        grad = np.bincount(cols, values * error[rows], minlength=width) + ridge * w
-        gw += grad ** 2
-        gb += error.sum() ** 2
-        w -= 0.5 * grad / np.sqrt(gw)
-        b -= 0.5 * error.sum() / np.sqrt(gb)
-    return w, float(b)
-
-
 def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxic",
         per_class: int = ROWS_PER_CLASS) -> tuple[np.ndarray, float]:
     """Weights by bucket and the intercept, learnt from ``labels`` rows that ``training`` allows."""
@@ -128,39 +116,38 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxi
         *(F.sum(c).alias(c) for c in ("n0", "n1", "docs"))).toPandas().sort_values("bucket")
     counts = counts[counts.docs >= LEAST_DOCS]
     p, q = counts.n1 + SMOOTHING, counts.n0 + SMOOTHING
-    ratio = np.log((p / p.sum()) / (q / q.sum())).to_numpy()
-    # most telling: the difference of the shares of each class's n-grams, in standard errors
-    n1, n0 = p.to_numpy(float), q.to_numpy(float)
-    telling = np.abs(n1 / n1.sum() - n0 / n0.sum()) / np.hypot(np.sqrt(n1) / n1.sum(), np.sqrt(n0) / n0.sum())
-    keep = np.sort(np.argsort(-telling, kind="stable")[:MAX_FEATURES])
-    bucket, ratio = counts.bucket.to_numpy()[keep], ratio[keep]
-    column = np.full(BUCKETS, -1, np.int32)
-    column[bucket] = np.arange(len(bucket))
-    shared = docs.sparkSession.sparkContext.broadcast(column)
+    ratio = np.zeros(BUCKETS)
+    ratio[counts.bucket.to_numpy()] = np.log((p / p.sum()) / (q / q.sum())).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
+    # as Spark stores a sparse vector
+    vector = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())),
+                        ("values", pa.list_(pa.float64()))])
+    schema = pa.schema([("label", pa.float64()), ("features", vector)])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ys, cols, ns = [], [], []
+            ys, cols, values = [], [], []
             for y, text in python_rows([batch]):
                 b, n = document_features(text)
-                c = shared.value[b]
+                own = shared.value[b] != 0
                 ys.append(y)
-                cols.append(c[c >= 0])
-                ns.append(n[c >= 0].astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(cols, pa.list_(pa.int32())),
-                                              pa.array(ns, pa.list_(pa.float32()))], names=["y", "c", "n"])
-
-    got = texts.mapInArrow(gather, "y int, c array<int>, n array<float>").toArrow().combine_chunks()
-    lists, sizes_of = got.column("c"), got.column("n")
-    cols = np.concatenate([x.values.to_numpy() for x in lists.chunks] or [np.empty(0, np.int32)])
-    values = np.concatenate([x.values.to_numpy() for x in sizes_of.chunks] or [np.empty(0, np.float32)])
-    per_row = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists.chunks])
-    rows = np.repeat(np.arange(len(per_row)), per_row)
-    y = got.column("y").to_numpy().astype(float)
-    w, b = fit_logistic(rows, cols, values * ratio[cols], y, len(bucket))
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[bucket] = w * ratio
-    return weights, b + prior_shift(sizes, taken)
+                cols.append(b[own].astype(np.int32))
+                values.append(n[own] * shared.value[b[own]].astype(float))
+            size = len(ys)
+            features = pa.StructArray.from_arrays([
+                pa.array(np.zeros(size, np.int8)), pa.array(np.full(size, BUCKETS, np.int32)),
+                pa.array(cols, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], fields=list(vector))
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.float64()), features], schema=schema)
+
+    stored = materialise(texts.mapInArrow(
+        gather, "label double, features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"), "toxicity-rows")
+    rows = docs.sparkSession.read.schema(StructType().add("label", DoubleType()).add("features", VectorUDT())).parquet(
+        *stored.inputFiles())
+    found = LogisticRegression(regParam=RIDGE, standardization=False, maxIter=MOST_STEPS, tol=TOLERANCE).fit(rows)
+    if found.summary.totalIterations >= MOST_STEPS:
+        warnings.warn(f"the toxicity fit did not converge in {MOST_STEPS} steps", stacklevel=2)
+    weights = (found.coefficients.toArray() * ratio).astype(np.float32)
+    return weights, found.intercept + prior_shift(sizes, taken)
 
 
 # ------------------------------------------------------------------ score ---

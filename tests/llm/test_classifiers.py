@@ -129,3 +129,19 @@ def test_sample_is_bounded_and_the_same(spark):
     # id 3 has both labels and counts as 1; ids 2 and 5 keep the one valid label they have
     assert sizes == {0: 300, 1: 101}
     assert labelled.prior_shift({0: 300, 1: 100}, {0: 30, 1: 30}) == pytest.approx(math.log(1 / 3))
+
+
+def test_rare_features_count_beside_thousands_of_more_telling_ones(spark):
+    rng = random.Random(6)
+    common = "alpha beta gamma delta epsilon zeta eta theta".split()
+    word = lambda n: "".join(rng.choices("bcdfghjklmnpqrstvwxz", k=n))
+    often, rare = [word(12) for _ in range(200)], [word(9) for _ in range(60)]
+    own = [rng.sample(often, 5) for _ in range(800)] + [[rare[i % 60]] for i in range(420)]
+    rows = [(i, " ".join(rng.choices(common, k=15) + w), 1) for i, w in enumerate(own)]
+    rows += [(10_000 + i, " ".join(rng.choices(common, k=15)), 0) for i in range(1200)]
+    rows += [(20_000 + i, " ".join([*common, w]), None) for i, w in enumerate(rare)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    weights, intercept = toxicity.fit(table, table, F.lit(True))
+    assert (weights != 0).sum() > 8000
+    got = toxicity.with_score(table.filter("doc_id >= 20000"), (weights, intercept)).collect()
+    assert np.mean([r.score >= 0.5 for r in got]) > 0.95
