@@ -75,7 +75,7 @@ def op4(spark, sf_dir):
 @query("op8_secret_scan")
 def op8(spark, sf_dir):
     """Secret scan: base spans of every document and the spans that ownership counts add (owner: source)."""
-    found = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    found = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "source", "text"), repo=secrets.distinct_text())
     n = {k: F.size(secrets.of_kind("spans", k)).cast("long").alias(f"n_{k}") for k in [*secrets.KINDS, secrets.OWNED]}
     return found.select(
         "doc_id", *(n[k] for k in secrets.KINDS),

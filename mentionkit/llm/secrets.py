@@ -15,7 +15,8 @@ an equality join on the hash that Spark may split where one value is hot, and sp
 row, that is one text. ``redact`` moves the text only of rows that have a candidate.
 
 Defined results: a null text is empty (no spans). A null owner is one owner of its own, and so is a
-null repository. Repeated rows each give a row and count once as a repository. An empty table gives no
+null repository. Repeated rows each give a row and count once as a repository; with ``distinct_text`` as
+the repository, so do copies of a text under different ids. An empty table gives no
 rows. Other columns are ignored by ``scan`` and kept by ``redact``. Texts are scanned whole.
 """
 
@@ -152,11 +153,17 @@ def _spans(rows: DataFrame) -> DataFrame:
     return judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).cast(_SPANS_SQL).alias("spans"))
 
 
-def _owner_columns(owner: str, repo: str) -> list[Column]:
-    return [F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo")]
+def distinct_text() -> Column:
+    """A repository for each different text: places that use a value, however often a text was copied."""
+    return F.md5(text_bytes())
 
 
-def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFrame:
+def _owner_columns(owner: str, repo: str | Column) -> list[Column]:
+    repo = F.col(repo) if isinstance(repo, str) else repo
+    return [F.col(owner).cast("string").alias("owner"), repo.cast("string").alias("repo")]
+
+
+def scan(docs: DataFrame, owner: str = "source", repo: str | Column = "doc_id") -> DataFrame:
     """Per row of ``docs``: ``doc_id`` and ``spans``, an array of (start, rank, end, kind, verdict).
 
     Spans are by start, then kind in the order assign, access, hex, owned (``rank``).
@@ -176,7 +183,7 @@ def of_kind(spans: str | Column, *kinds: str) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 
 
-def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", mark: str = "[REDACTED]") -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repo: str | Column = "doc_id", mark: str = "[REDACTED]") -> DataFrame:
     """``docs``, same columns, with every base and owned span of ``text`` replaced by ``mark``."""
     found = docs.withColumn("__secrets", _found())
     clean = found.filter(F.size("__secrets") == 0).drop("__secrets")

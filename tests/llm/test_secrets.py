@@ -107,3 +107,15 @@ def test_query_digest(spark, tmp_path):
     assert got[1].spans == "assign:2:18" and got[1].n_assign == 1
     assert got[1].base_sha256 == hashlib.sha256(b"assign:2:18").hexdigest()
     assert got[2].spans == "" and got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_copies_of_a_text_are_one_repository(spark, tmp_path):
+    from mentionkit.llm.catalog import QUERIES
+    copies, constant = "key Qq11ww22EE33rr44TT55 here", "Aa99bb88CC77dd66EE55"
+    docs = [(i, copies, "a") for i in range(S.LIVE_REPOS + 3)]
+    docs += [(100 + i, f"{constant} in place {i}", "b") for i in range(S.LIVE_REPOS + 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in QUERIES["op8_secret_scan"](spark, str(tmp_path)).collect()}
+    assert all(got[d] == ("owned:4:24" if d < 100 else "") for d, _, _ in docs)
+    redacted = S.redact(spark.createDataFrame(docs, "doc_id long, text string, source string"), repo=S.distinct_text())
+    assert {r.doc_id: "REDACTED" in r.text for r in redacted.collect()} == {d: d < 100 for d, _, _ in docs}
