@@ -7,10 +7,12 @@ classes; a logistic regression is fitted on values times ratios. Score: the logi
 
 Scale. The fit reads a bounded sample (``ROWS_PER_CLASS`` of each class); feature counts of the
 sample are summed in Spark and reach the driver as at most ``BUCKETS`` rows. Every feature of
-``LEAST_DOCS`` documents is kept; the sampled documents' features stay in a table, and Spark fits the
-regression on it to convergence, with one gradient of ``BUCKETS`` numbers a step. Scoring is one pass
+``LEAST_DOCS`` documents is kept; the sampled documents' features stay in a table. The regression is
+fitted on it by quasi-Newton steps until the gradient is at most ``TOLERANCE``; a step is one pass of
+tasks, of which each returns one gradient over the kept features, and shuffles nothing. Scoring is one pass
 over the texts without a shuffle; the broadcast model is one float per bucket. A task keeps the scores
-of words it has met, at most ``WORD_CACHE``.
+of words it has met, at most ``WORD_CACHE``, and lays out the n-grams of ``SLICE`` characters at a time,
+so one word of any length takes bounded memory beside its own text.
 
 Defined results: a null or empty text has no features and scores the intercept. Without labelled rows
 of both classes every score is the share of ones (0 where there is no label). Repeated rows each give
@@ -20,19 +22,16 @@ a row. An empty table gives no rows. Only ``text`` is an input of a score.
 from __future__ import annotations
 
 import math
-import warnings
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
 
 from mentionkit.llm.common import CHUNK_ROWS, materialise, python_rows, text_bytes
 from mentionkit.llm.labelled import ROWS_PER_CLASS, labelled_sample, prior_shift, share_of_ones
+from mentionkit.operators.fitting import minimise, summed_gradient
 
 NGRAMS = (2, 3, 4, 5, 6)
 BUCKET_BITS = 18
@@ -40,13 +39,14 @@ BUCKETS = 1 << BUCKET_BITS
 #: Features in fewer sampled documents are left out.
 LEAST_DOCS = 5
 SMOOTHING = 1.0
-RIDGE = 1e-4
-#: The fit ends when a step gains less than this share; it warns if it has not after so many steps.
-TOLERANCE = 1e-6
-MOST_STEPS = 1000
+RIDGE = 1e-2
+#: The fit ends when no part of the gradient (of the mean loss) is larger.
+TOLERANCE = 1e-5
 WORD_CACHE = 200_000
-#: Words whose n-grams are laid out at a time.
-NEW_WORDS = 10_000
+#: Characters whose n-grams are laid out at a time.
+SLICE = 100_000
+#: Features in a stored row of the fit, about.
+BLOCK_ENTRIES = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,27 +54,56 @@ def distinct_words(text: bytes | None) -> set[bytes]:
     return set(text.lower().split()) if text else set()
 
 
+def word_groups(words: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """The words in groups of at most about ``SLICE`` bytes; a longer word is a group by itself."""
+    held: list[bytes] = []
+    size = 0
+    for w in words:
+        if held and size + len(w) + 2 > SLICE:
+            yield held
+            held, size = [], 0
+        held.append(w)
+        size += len(w) + 2
+    if held:
+        yield held
+
+
 def word_ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, bucket) of every character n-gram of every word."""
+    """(word number, bucket) of every character n-gram of every word; of a giant word each bucket once.
+
+    A word beyond ``SLICE`` comes alone (see ``word_groups``); it is gone through in slices, and what
+    is kept of it is a mark a bucket.
+    """
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     joined = b" " + b"  ".join(words) + b" "  # a blank at both ends of every word
-    points = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    blank = points == 32
-    ends = np.flatnonzero(blank)[1::2] + 1
+    points = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    if len(words) == 1 and len(points) > SLICE:
+        met = np.zeros(BUCKETS, bool)
+        for at in range(0, len(points), SLICE):
+            part = points[at:at + SLICE + max(NGRAMS) - 1]
+            own = min(SLICE, len(points) - at)
+            for _, buckets in _hashed(part, np.arange(len(part), 0, -1)[:own]):
+                met[buckets] = True
+        buckets = np.flatnonzero(met)
+        return np.zeros(len(buckets), np.int64), buckets
+    ends = np.flatnonzero(points == 32)[1::2] + 1
     begins = np.r_[0, ends[:-1]]
     word = np.repeat(np.arange(len(ends)), ends - begins)
-    left = np.repeat(ends, ends - begins) - np.arange(len(points))  # characters up to the word's end
-    rows, buckets = [], []
+    found = [(word[at], buckets) for at, buckets in _hashed(points, np.repeat(ends, ends - begins) - np.arange(len(points)))]
+    return np.concatenate([w for w, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _hashed(points: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and buckets of the n-grams that begin at the first ``len(left)`` points; ``left``: points up to the word's end."""
+    points = points.astype(np.uint64)
     h = np.zeros(len(points), np.uint64)
     for n in range(1, min(max(NGRAMS), len(points)) + 1):
         h[:len(points) - n + 1] = (h[:len(points) - n + 1] * np.uint64(0x100000001B3)) ^ points[n - 1:]
         if n in NGRAMS:
             at = np.flatnonzero(left >= n)
-            rows.append(word[at])
             mixed = (h[at] ^ np.uint64(n)) * _MIX
-            buckets.append((mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-    return np.concatenate(rows), np.concatenate(buckets)
+            yield at, (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -85,10 +114,18 @@ def distinct(values: np.ndarray) -> np.ndarray:
 
 def document_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a document and in how many of its distinct words each is."""
-    words = list(distinct_words(text))
-    row, bucket = word_ngrams(words)
-    pairs = distinct(bucket * max(1, len(words)) + row) // max(1, len(words))  # a word counts once
-    return np.unique(pairs, return_counts=True)
+    parts = []
+    for words in word_groups(distinct_words(text)):
+        row, bucket = word_ngrams(words)
+        pairs = distinct(bucket * len(words) + row) // len(words)  # a word counts once
+        parts.append(np.unique(pairs, return_counts=True))
+    if len(parts) < 2:
+        return parts[0] if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+    total = np.zeros(BUCKETS, np.int64)
+    for bucket, n in parts:
+        total[bucket] += n
+    at = np.flatnonzero(total)
+    return at, total[at]
 
 
 # -------------------------------------------------------------------- fit ---
@@ -113,41 +150,75 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxi
                                          names=["bucket", "n0", "n1", "docs"])
 
     counts = texts.mapInArrow(count, "bucket long, n0 long, n1 long, docs long").groupBy("bucket").agg(
-        *(F.sum(c).alias(c) for c in ("n0", "n1", "docs"))).toPandas().sort_values("bucket")
-    counts = counts[counts.docs >= LEAST_DOCS]
-    p, q = counts.n1 + SMOOTHING, counts.n0 + SMOOTHING
-    ratio = np.zeros(BUCKETS)
-    ratio[counts.bucket.to_numpy()] = np.log((p / p.sum()) / (q / q.sum())).to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
-    # as Spark stores a sparse vector
-    vector = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())),
-                        ("values", pa.list_(pa.float64()))])
-    schema = pa.schema([("label", pa.float64()), ("features", vector)])
+        *(F.sum(c).alias(c) for c in ("n0", "n1", "docs"))).filter(F.col("docs") >= LEAST_DOCS).toPandas().sort_values("bucket")
+    kept = counts.bucket.to_numpy()
+    p, q = counts.n1.to_numpy() + SMOOTHING, counts.n0.to_numpy() + SMOOTHING
+    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    fitted = minimise(_loss(texts, kept, ratio, sum(taken.values())), np.zeros(len(kept) + 1), TOLERANCE)
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[kept] = fitted[:-1] * ratio
+    return weights, float(fitted[-1]) + prior_shift(sizes, taken)
+
+
+def _loss(texts: DataFrame, kept: np.ndarray, ratio: np.ndarray, size: int):
+    """The ridge-penalised mean logistic loss over ``texts(y, text)`` and its gradient, as a function of the weights.
+
+    The documents' kept features are written once, numbered by their place in ``kept``, several
+    documents a row: labels, feature counts, feature numbers and scaled values, each as raw numbers.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((kept, ratio.astype(np.float32)))
+    names = ["y", "lengths", "columns", "scaled"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ys, cols, values = [], [], []
-            for y, text in python_rows([batch]):
+        own, scale = shared.value
+        number = np.full(BUCKETS, -1, np.int32)
+        number[own] = np.arange(len(own))
+
+        def blocks():
+            held: list[tuple] = []
+            entries = 0
+            for y, text in python_rows(batches):
                 b, n = document_features(text)
-                own = shared.value[b] != 0
-                ys.append(y)
-                cols.append(b[own].astype(np.int32))
-                values.append(n[own] * shared.value[b[own]].astype(float))
-            size = len(ys)
-            features = pa.StructArray.from_arrays([
-                pa.array(np.zeros(size, np.int8)), pa.array(np.full(size, BUCKETS, np.int32)),
-                pa.array(cols, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], fields=list(vector))
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.float64()), features], schema=schema)
-
-    stored = materialise(texts.mapInArrow(
-        gather, "label double, features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"), "toxicity-rows")
-    rows = docs.sparkSession.read.schema(StructType().add("label", DoubleType()).add("features", VectorUDT())).parquet(
-        *stored.inputFiles())
-    found = LogisticRegression(regParam=RIDGE, standardization=False, maxIter=MOST_STEPS, tol=TOLERANCE).fit(rows)
-    if found.summary.totalIterations >= MOST_STEPS:
-        warnings.warn(f"the toxicity fit did not converge in {MOST_STEPS} steps", stacklevel=2)
-    weights = (found.coefficients.toArray() * ratio).astype(np.float32)
-    return weights, found.intercept + prior_shift(sizes, taken)
+                column = number[b]
+                used = column >= 0
+                column = column[used]
+                held.append((y, len(column), column, n[used] * scale[column]))
+                entries += len(column)
+                if entries >= BLOCK_ENTRIES:
+                    yield held
+                    held, entries = [], 0
+            if held:
+                yield held
+
+        for held in blocks():
+            y, lengths, columns, values = zip(*held)
+            raw = (np.array(y, np.float32), np.array(lengths, np.int32), np.concatenate(columns).astype(np.int32),
+                   np.concatenate(values).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary()) for r in raw], names=names)
+
+    stored = materialise(texts.mapInArrow(gather, ", ".join(f"{n} binary" for n in names)), "toxicity-rows")
+
+    def local(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, gradient = 0.0, np.zeros(len(w))
+        for raw in python_rows(batches):
+            y, lengths, columns, values = (np.frombuffer(r, t) for r, t in zip(raw, (np.float32, np.int32, np.int32, np.float32)))
+            row = np.repeat(np.arange(len(y)), lengths)
+            z = w[-1] + np.bincount(row, values * w[columns], minlength=len(y))
+            loss += float((np.logaddexp(0, z) - y * z).sum())
+            error = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
+            gradient[:-1] += np.bincount(columns, values * error[row], minlength=len(w) - 1)
+            gradient[-1] += error.sum()
+        return loss, gradient
+
+    summed = summed_gradient(stored, local)
+
+    def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, gradient = summed(w)
+        gradient /= size
+        gradient[:-1] += RIDGE * w[:-1]
+        return loss / size + RIDGE / 2 * float(w[:-1] @ w[:-1]), gradient
+
+    return objective
 
 
 # ------------------------------------------------------------------ score ---
@@ -168,8 +239,7 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(z, -700, 700)))).tolist()
 
     def _learn(self, new: list[bytes]) -> None:
-        for at in range(0, len(new), NEW_WORDS):
-            words = new[at:at + NEW_WORDS]
+        for words in word_groups(new):
             row, bucket = word_ngrams(words)
             pairs = distinct(row * BUCKETS + bucket)  # a feature counts once in a word
             sums = np.bincount(pairs >> BUCKET_BITS, self.weights[pairs & (BUCKETS - 1)], minlength=len(words))
