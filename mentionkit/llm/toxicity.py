@@ -128,6 +128,25 @@ def document_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return at, total[at]
 
 
+def as_steps(numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending feature numbers and counts as (gap, count) entries of a byte each.
+
+    The first entry stands at number 0 with no count; a gap of more than a byte passes over entries
+    without count, and a count of more than a byte is several entries of the same number.
+    """
+    more = (counts - 1) // 255
+    ends = np.cumsum(more + 1) - 1
+    split = np.full(len(counts) + int(more.sum()), 255)
+    split[ends] = counts - 255 * more
+    gaps = np.diff(np.repeat(numbers, more + 1), prepend=0)
+    far = gaps // 255
+    at = np.cumsum(far + 1)
+    out = np.full(1 + len(gaps) + int(far.sum()), 255, np.uint8), np.zeros(1 + len(gaps) + int(far.sum()), np.uint8)
+    out[0][0] = 0
+    out[0][at], out[1][at] = gaps % 255, split
+    return out
+
+
 # -------------------------------------------------------------------- fit ---
 def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxic",
         per_class: int = ROWS_PER_CLASS) -> tuple[np.ndarray, float]:
@@ -164,50 +183,49 @@ def _loss(texts: DataFrame, kept: np.ndarray, ratio: np.ndarray, size: int):
     """The ridge-penalised mean logistic loss over ``texts(y, text)`` and its gradient, as a function of the weights.
 
     The documents' kept features are written once, numbered by their place in ``kept``, several
-    documents a row: labels, feature counts, feature numbers and scaled values, each as raw numbers.
+    documents a row: labels, entries of each document, gaps between feature numbers, and counts, as raw
+    numbers (see ``as_steps``); scaled by the ratios, weights times counts are weights times values.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((kept, ratio.astype(np.float32)))
-    names = ["y", "lengths", "columns", "scaled"]
+    shared = texts.sparkSession.sparkContext.broadcast(kept)
+    names = ["y", "lengths", "gaps", "counts"]
+    kinds = [np.float32, np.int32, np.uint8, np.uint8]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, scale = shared.value
-        number = np.full(BUCKETS, -1, np.int32)
-        number[own] = np.arange(len(own))
-
-        def blocks():
-            held: list[tuple] = []
-            entries = 0
-            for y, text in python_rows(batches):
-                b, n = document_features(text)
-                column = number[b]
-                used = column >= 0
-                column = column[used]
-                held.append((y, len(column), column, n[used] * scale[column]))
-                entries += len(column)
-                if entries >= BLOCK_ENTRIES:
-                    yield held
-                    held, entries = [], 0
-            if held:
-                yield held
-
-        for held in blocks():
-            y, lengths, columns, values = zip(*held)
-            raw = (np.array(y, np.float32), np.array(lengths, np.int32), np.concatenate(columns).astype(np.int32),
-                   np.concatenate(values).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary()) for r in raw], names=names)
+        number = np.full(BUCKETS, -1, np.int64)
+        number[shared.value] = np.arange(len(shared.value))
+
+        def row(held: list[tuple]) -> pa.RecordBatch:
+            y, gaps, counts = zip(*held)
+            raw = y, [len(g) for g in gaps], np.concatenate(gaps), np.concatenate(counts)
+            return pa.RecordBatch.from_arrays([pa.array([np.asarray(r, k).tobytes()], pa.binary()) for r, k in zip(raw, kinds)], names=names)
+
+        held: list[tuple] = []
+        for y, text in python_rows(batches):
+            b, n = document_features(text)
+            used = number[b] >= 0
+            held.append((y, *as_steps(number[b[used]], n[used])))
+            if sum(len(g) for _, g, _ in held) >= BLOCK_ENTRIES:
+                yield row(held)
+                held = []
+        if held:
+            yield row(held)
 
     stored = materialise(texts.mapInArrow(gather, ", ".join(f"{n} binary" for n in names)), "toxicity-rows")
 
     def local(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> tuple[float, np.ndarray]:
         loss, gradient = 0.0, np.zeros(len(w))
-        for raw in python_rows(batches):
-            y, lengths, columns, values = (np.frombuffer(r, t) for r, t in zip(raw, (np.float32, np.int32, np.int32, np.float32)))
-            row = np.repeat(np.arange(len(y)), lengths)
-            z = w[-1] + np.bincount(row, values * w[columns], minlength=len(y))
+        scaled = w[:-1] * ratio
+        for raw in python_rows(batches, 4):
+            y, lengths, gaps, counts = (np.frombuffer(r, k) for r, k in zip(raw, kinds))
+            begins = np.cumsum(lengths) - lengths
+            column = np.cumsum(gaps, dtype=np.int32)
+            column -= np.repeat(column[begins], lengths)
+            z = w[-1] + np.add.reduceat(scaled[column] * counts, begins)
             loss += float((np.logaddexp(0, z) - y * z).sum())
             error = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
-            gradient[:-1] += np.bincount(columns, values * error[row], minlength=len(w) - 1)
+            gradient[:-1] += np.bincount(column, np.repeat(error, lengths) * counts, minlength=len(scaled))
             gradient[-1] += error.sum()
+        gradient[:-1] *= ratio
         return loss, gradient
 
     summed = summed_gradient(stored, local)
