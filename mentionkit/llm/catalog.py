@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionkit.llm import decontaminate as dec
-from mentionkit.llm import chat, lm, packing, quality, repetition, secrets, simhash, tokens, toxicity
+from mentionkit.llm import centroids, chat, lm, negatives, packing, quality, repetition, secrets, simhash, tokens, toxicity
 from mentionkit.llm.common import crc_fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,63 @@ def op10(spark, sf_dir):
 def op9(spark, sf_dir):
     """Suffix-tree language model: every text's unigram and model log10 probability; fold 0 of 10 is held out."""
     return lm.score(read(spark, sf_dir, "documents", "doc_id", "text"), crc_fold("doc_id", 10) != 0)
+
+
+def _op12_sql(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Rounds as a chain of tables. ``m`` holds a centroid a row, ``a{i}`` the nearest centroid of every vector."""
+    def nearest(of: str) -> str:
+        return f"""SELECT rid, vec_id, x, arg_min(c, (d, c)) AS cluster, min(d) AS distance FROM (
+    SELECT v.rid, v.vec_id, v.x, m.c, list_sum(list_transform(range(1, {dims + 1}), lambda j: (v.x[j] - m.x[j]) * (v.x[j] - m.x[j]))) AS d
+    FROM v, {of} AS m) GROUP BY rid, vec_id, x"""
+
+    steps = [f"""WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * {scale}) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), vec_id, x) AS rid, * FROM kept),
+m0 AS MATERIALIZED (SELECT rid - 1 AS c, x FROM v WHERE rid <= {k})"""]
+    for i in range(rounds):
+        steps.append(f"""a{i} AS MATERIALIZED ({nearest(f"m{i}")}),
+s{i} AS (SELECT cluster AS c, list(t ORDER BY j) AS x FROM (
+    SELECT cluster, j, CAST((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS t
+    FROM (SELECT cluster, unnest(x) AS e, unnest(range({dims})) AS j FROM a{i}) GROUP BY cluster, j) GROUP BY cluster),
+m{i + 1} AS MATERIALIZED (SELECT m.c, coalesce(s.x, m.x) AS x FROM m{i} AS m LEFT JOIN s{i} AS s USING (c))""")
+    return ",\n".join(steps) + f""",
+done AS MATERIALIZED ({nearest(f"m{rounds}")})
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM done JOIN m{rounds} AS m ON m.c = done.cluster"""
+
+
+@query("op12_centroids", _op12_sql())
+def op12(spark, sf_dir):
+    """Integer k-means of the embeddings, centroids filtered by their places over a simplex of pivots."""
+    assigned, found = centroids.cluster(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return centroids.with_inertia(assigned, found)
+
+
+OP13_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_sum(list_transform(range(1, len(a.x) + 1), lambda j: a.x[j] * b.x[j])) AS score
+  FROM v AS a, v AS b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id,
+  CAST(positive_score AS BIGINT) AS positive_score, CAST(score AS BIGINT) AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark, sf_dir):
+    """Hard negatives of every hundredth embedding; every seventh row's label moves on by one first."""
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved))
