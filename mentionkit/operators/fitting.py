@@ -19,8 +19,14 @@ from pyspark.sql import DataFrame
 LocalGradient = Callable[[Iterator[pa.RecordBatch], np.ndarray], tuple[float, np.ndarray]]
 
 
-def summed_gradient(rows: DataFrame, local: LocalGradient) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
-    """A function of the parameters: the loss and its gradient, added up over the partitions of ``rows``."""
+def summed_gradient(rows: DataFrame, local: LocalGradient,
+                    most_tasks: int | None = None) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """A function of the parameters: the loss and its gradient, added up over the partitions of ``rows``.
+
+    ``most_tasks`` bounds the gradients that a step returns, for tables of bounded size but many files.
+    """
+    if most_tasks is not None:
+        rows = rows.coalesce(most_tasks)
     sc = rows.sparkSession.sparkContext
 
     def at(parameters: np.ndarray) -> tuple[float, np.ndarray]:
