@@ -45,6 +45,8 @@ TOLERANCE = 1e-5
 WORD_CACHE = 200_000
 #: Characters whose n-grams are laid out at a time.
 SLICE = 100_000
+#: Tasks of a step of the fit, at most: each returns a gradient over the kept features.
+STEP_TASKS = 16
 #: Features in a stored row of the fit, about.
 BLOCK_ENTRIES = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -228,7 +230,7 @@ def _loss(texts: DataFrame, kept: np.ndarray, ratio: np.ndarray, size: int):
         gradient[:-1] *= ratio
         return loss, gradient
 
-    summed = summed_gradient(stored, local)
+    summed = summed_gradient(stored, local, STEP_TASKS)
 
     def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
         loss, gradient = summed(w)
