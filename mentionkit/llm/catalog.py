@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionkit.llm import decontaminate as dec
-from mentionkit.llm import centroids, chat, lm, negatives, packing, quality, repetition, secrets, simhash, tokens, toxicity
+from mentionkit.llm import centroids, chat, lm, negatives, packing, quality, repetition, secrets, simhash, tokens, toxicity, weighted
 from mentionkit.llm.common import crc_fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +198,12 @@ def op9(spark, sf_dir):
     return lm.score(read(spark, sf_dir, "documents", "doc_id", "text"), crc_fold("doc_id", 10) != 0)
 
 
+@query("op11_fingerprints")
+def op11(spark, sf_dir):
+    """Consistent weighted sampling: every document's fingerprint, its edited text's, and how alike they are."""
+    return weighted.edited_fingerprints(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def _op12_sql(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
     """Rounds as a chain of tables. ``m`` holds a centroid a row, ``a{i}`` the nearest centroid of every vector."""
     def nearest(of: str) -> str:
