@@ -48,13 +48,17 @@ def words(text: str | Column) -> Column:
 
 
 def word_terms(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Every other column of ``rows`` with ``term`` (hash of a word) and ``weight`` (its count), a row a distinct word."""
+    """Every other column of ``rows`` with ``term`` (hash of a word) and ``weight`` (its count), a row a distinct word.
+
+    A text without words gives one row with neither. (The outer explode matters: for a plain one Spark
+    infers that the array is not empty and works out the words once more, within the comparison.)
+    """
     keys = [c for c in rows.columns if c != text]
-    ordered = rows.select(*keys, F.sort_array(F.transform(words(text), lambda w: F.xxhash64(w))).alias("__w"))
+    runs = rows.select(*keys, F.sort_array(F.transform(words(text), lambda w: F.xxhash64(w))).alias("__w"))
     first = F.filter(F.sequence(F.lit(0), F.size("__w") - 1),
                      lambda i: (i == 0) | (F.get("__w", i) != F.get("__w", i - 1)))
-    runs = ordered.filter(F.size("__w") > 0).withColumn("__s", first)
-    each = runs.select(*keys, "__w", "__s", F.posexplode("__s").alias("__j", "__at"))
+    runs = runs.withColumn("__s", F.when(F.size("__w") > 0, first))
+    each = runs.select(*keys, "__w", "__s", F.posexplode_outer("__s").alias("__j", "__at"))
     ends = F.coalesce(F.get("__s", F.col("__j") + 1), F.size("__w"))
     return each.select(*keys, F.get("__w", F.col("__at")).alias("term"), (ends - F.col("__at")).alias("weight"))
 
@@ -90,10 +94,13 @@ def sample(number: int, term: Column, weight: Column) -> Column:
 
 
 def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and ``fingerprint`` of every bag of ``terms`` (``keys``, ``term`` long, ``weight`` above 0)."""
+    """``keys`` and ``fingerprint`` of every bag of ``terms`` (``keys``, ``term`` long, ``weight`` above 0).
+
+    Rows without term add nothing; a bag of nothing else has the empty fingerprint.
+    """
     best = terms.groupBy(*keys).agg(*(F.max(sample(k, F.col("term"), F.col("weight"))).alias(f"__{k}") for k in range(samples)))
     digits = [F.lpad(F.lower(F.hex(F.col(f"__{k}").bitwiseAND(F.lit((1 << ID_BITS) - 1)))), DIGITS, "0") for k in range(samples)]
-    return best.select(*keys, F.concat(*digits).alias("fingerprint"))
+    return best.select(*keys, F.coalesce(F.concat(*digits), F.lit("")).alias("fingerprint"))
 
 
 def likeness(a: str | Column, b: str | Column, samples: int = SAMPLES) -> Column:
@@ -134,8 +141,8 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     prints = signatures(word_terms(sides), [*key, "side"], samples).groupBy(*key).agg(
         *(F.max(F.when(F.col("side") == i, F.col("fingerprint"))).alias(c) for i, c in enumerate(("own", "other"))))
     found = materialise(both.select(*key, "copies", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).join(
-        prints, key, "left").select(*key, "copies", "edited_sha256", F.coalesce("own", F.lit("")).alias("fingerprint"),
-                                    F.coalesce("other", F.lit("")).alias("edited_fingerprint")), "fingerprints")
+        prints, key).select(*key, "copies", "edited_sha256", F.col("own").alias("fingerprint"),
+                            F.col("other").alias("edited_fingerprint")), "fingerprints")
     beside = found.select(*(F.col(k).alias(a) for k, a in zip(key, after)), F.col("fingerprint").alias("next_fingerprint")).join(
         pairs, after).select(*key, "next_fingerprint")
     return found.join(beside, key).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
