@@ -127,12 +127,12 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     own = docs.select(F.col("doc_id").isNull().alias("z"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("g"),
                       F.xxhash64(text).alias("h"), F.length(text).cast("long").alias("n"), text.alias("text"))
     key, after = ["z", "g", "h", "n"], ["az", "ag", "ah", "an"]
-    order = materialise(global_ordinal(own.select(*key).distinct(), [F.col("z"), F.col("g").desc(), F.col("h"), F.col("n")]), "order")
+    order = materialise(global_ordinal(own.groupBy(*key).agg(F.count("*").alias("copies")), [F.col("z"), F.col("g").desc(), F.col("h"), F.col("n")]), "order")
     total = order.count()
     following = order.select(*(F.col(k).alias(a) for k, a in zip(key, after)), F.pmod(F.col("ord") - 1, F.lit(max(1, total))).alias("ord"))
-    pairs = materialise(order.join(following, "ord").drop("ord"), "next")
+    pairs = materialise(order.join(following, "ord").drop("ord"), "next")  # copies: of the document, not of the next
 
-    texts = own.groupBy(*key).agg(F.max("text").alias("text"), F.count("*").alias("copies"))
+    texts = own.groupBy(*key).agg(F.max("text").alias("text"))  # the same columns wherever it is read: one exchange
     gifts = texts.select(*(F.col(k).alias(a) for k, a in zip(key, after)), "text").join(pairs, after).select(
         *key, F.substring(F.col("text"), F.lit(1), F.floor(F.col("n") / 3).cast("int")).alias("gift"))
     both = texts.join(gifts, key).withColumn("edited", F.concat(
@@ -140,11 +140,11 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     sides = both.select(*key, F.posexplode(F.array("text", "edited")).alias("side", "text"))
     prints = signatures(word_terms(sides), [*key, "side"], samples).groupBy(*key).agg(
         *(F.max(F.when(F.col("side") == i, F.col("fingerprint"))).alias(c) for i, c in enumerate(("own", "other"))))
-    found = materialise(both.select(*key, "copies", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).join(
-        prints, key).select(*key, "copies", "edited_sha256", F.col("own").alias("fingerprint"),
+    found = materialise(both.select(*key, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).join(
+        prints, key).select(*key, "edited_sha256", F.col("own").alias("fingerprint"),
                             F.col("other").alias("edited_fingerprint")), "fingerprints")
     beside = found.select(*(F.col(k).alias(a) for k, a in zip(key, after)), F.col("fingerprint").alias("next_fingerprint")).join(
-        pairs, after).select(*key, "next_fingerprint")
+        pairs, after).select(*key, "copies", "next_fingerprint")
     return found.join(beside, key).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
         F.when(~F.col("z"), F.col("g")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", "fingerprint",
         "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"),

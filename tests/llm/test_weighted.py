@@ -97,12 +97,12 @@ def test_share_of_equal_samples_estimates_generalised_jaccard(spark):
         cut = rng.randrange(len(common))
         rows.append((i, " ".join(common), " ".join(common[:cut] + ["other"] * rng.randrange(1, 40))))
     table = spark.createDataFrame(rows, "i int, a string, b string")
-    side = [W.signatures(W.word_terms(table.select("i", c), c), ["i"], 400).toPandas().set_index("i").fingerprint for c in "ab"]
+    side = [W.signatures(W.word_terms(table.select("i", c), c), ["i"], 100).toPandas().set_index("i").fingerprint for c in "ab"]
     errors = []
     for i, a, b in rows:
         parts = [[s[i][at:at + W.DIGITS] for at in range(0, len(s[i]), W.DIGITS)] for s in side]
-        errors.append(sum(x == y for x, y in zip(*parts)) / 400 - generalised_jaccard(a, b))
-    assert max(map(abs, errors)) < 0.09 and abs(sum(errors)) / len(errors) < 0.03
+        errors.append(sum(x == y for x, y in zip(*parts)) / 100 - generalised_jaccard(a, b))
+    assert max(map(abs, errors)) < 0.18 and abs(sum(errors)) / len(errors) < 0.05
 
 
 def test_fractional_weights_scale_free(spark):
