@@ -18,22 +18,34 @@ def truth_table(mentions: DataFrame) -> DataFrame:
     return mentions.select("id", C.class_label().alias("label"), *C.truth_onehot())
 
 
+def _sides(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """Both tables in one, a row an id, with how often each of them holds it; one shuffle."""
+    t = truth.withColumns({"n_truth": F.lit(1), "n_pred": F.lit(0)})
+    p = pred.select("id", "p_a", "p_b", "p_neither", F.lit(0).alias("n_truth"), F.lit(1).alias("n_pred"))
+    both = t.unionByName(p, allowMissingColumns=True)
+    return both.groupBy("id").agg(*(F.max(c).alias(c) for c in both.columns if c not in ("id", "n_truth", "n_pred")),
+                                  *(F.sum(c).alias(c) for c in ("n_truth", "n_pred")))
+
+
 def align(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """Truth joined to predictions on ``id``; an id that only one side has fails the job."""
-    t = truth.withColumn("in_truth", F.lit(True))
-    p = pred.select("id", "p_a", "p_b", "p_neither", F.lit(True).alias("in_pred"))
-    gap = F.col("in_truth").isNull() | F.col("in_pred").isNull()
-    fault = F.raise_error(F.concat(F.lit("truth and predictions do not hold the same ids: "), F.col("id").cast("string")))
-    checked = [F.when(gap, fault).otherwise(F.col(c)).alias(c) if c != "id" else F.col(c)
-               for c in [*truth.columns, "p_a", "p_b", "p_neither"]]
-    return t.join(p, "id", "full_outer").select(*checked)
+    """Truth joined to predictions on ``id``.
+
+    An id that only one side has fails the job, and so does one that a side holds more than once
+    (rows without id count as one id).
+    """
+    both = _sides(truth, pred)
+    name = F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    fault = F.raise_error(F.when((F.col("n_truth") == 0) | (F.col("n_pred") == 0), F.concat(
+        F.lit("truth and predictions do not hold the same ids: "), name)).otherwise(F.concat(
+            F.lit("an id stands more than once in truth or predictions: "), name)))
+    odd = (F.col("n_truth") != 1) | (F.col("n_pred") != 1)
+    return both.select("id", *(F.when(odd, fault).otherwise(F.col(c)).alias(c)
+                               for c in both.columns if c not in ("id", "n_truth", "n_pred")))
 
 
 def alignment_gaps(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """Ids present on one side only (must be empty before scoring)."""
-    t = truth.select("id", F.lit(True).alias("in_truth"))
-    p = pred.select("id", F.lit(True).alias("in_pred"))
-    return t.join(p, "id", "full_outer").where(F.col("in_truth").isNull() | F.col("in_pred").isNull())
+    """Ids that do not stand exactly once on each side, and how often they do (must be empty before scoring)."""
+    return _sides(truth, pred).where((F.col("n_truth") != 1) | (F.col("n_pred") != 1)).select("id", "n_truth", "n_pred")
 
 
 def row_log_loss(eps: float = S.LOGLOSS_EPS) -> Column:

@@ -60,11 +60,11 @@ def _vocab_index(spark) -> tuple[DataFrame, dict[str, int]]:
     return spark.createDataFrame(rows, "family string, feature string, fi int"), sizes
 
 
-def _dense(entries: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Gather ``(keys..., idx, val)`` entries into a feature vector of ``size`` dimensions, in the JVM.
+def _gathered(entries: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Gather ``(keys..., idx, val)`` entries into an array ``values`` of ``size`` numbers, in the JVM.
 
     The gather is bounded per row (one window / tree bag per target). Between two sorted entries lie
-    as many zeros as their places are apart, and the pieces are flattened into the vector's values.
+    as many zeros as their places are apart, and the pieces are flattened into the array.
     """
     g = entries.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         F.col("idx").cast("int").alias("i"), F.col("val").cast("double").alias("v")))).alias("e"))
@@ -72,7 +72,47 @@ def _dense(entries: DataFrame, keys: list[str], size: int) -> DataFrame:
     pieces = F.transform("e", lambda x, j: F.concat(
         zeros(x["i"] - F.coalesce(F.get("e", j - 1)["i"], F.lit(-1)) - 1), F.array(x["v"])))
     values = F.concat(F.flatten(pieces), zeros(F.lit(size - 1) - F.get("e", F.size("e") - 1)["i"]))
-    return g.select(*keys, array_to_vector(values).alias("features"))
+    return g.select(*keys, values.alias("values"))
+
+
+def _dense(entries: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """The gathered entries as an ML vector ``features``."""
+    return _gathered(entries, keys, size).select(*keys, array_to_vector("values").alias("features"))
+
+
+def vector_width(pooled: DataFrame) -> int:
+    """Dimensions of the pooled vectors (one number)."""
+    return pooled.agg(F.max(F.size("vec"))).first()[0] or 0
+
+
+def role_vectors(pooled: DataFrame, width: int) -> DataFrame:
+    """``(id, p, a, b)``: the pooled vector (A16) of each role; zeros for a role without pieces."""
+    by = pooled.groupBy("id").agg(*(F.max(F.when(F.col("role") == r, F.col("vec"))).alias(r.lower()) for r in "PAB"))
+    return by.select("id", *(F.coalesce(r, F.array_repeat(F.lit(0.0), width)).alias(r) for r in "pab"))
+
+
+def pair_vector_block(pooled: DataFrame, width: int) -> DataFrame:
+    """``(id, cand, block)``: the dense block p, c, p * c of each candidate, as one array."""
+    own = role_vectors(pooled, width)
+    block = lambda c: F.concat("p", c, F.zip_with("p", c, lambda x, y: x * y))
+    return own.select("id", F.explode(F.array(*(F.struct(F.lit(r).alias("cand"), block(r.lower()).alias("block"))
+                                                for r in "AB"))).alias("e")).select("id", "e.cand", "e.block")
+
+
+def mention_vector_block(pooled: DataFrame, cosines: DataFrame, width: int) -> DataFrame:
+    """``(id, block)``: the dense block P, A, B and the two cosines (R8; 0 where there is none), as one array."""
+    both = role_vectors(pooled, width).join(cosines, "id", "full_outer")
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return both.select("id", F.concat(*(F.coalesce(r, zeros) for r in "pab"), F.array(
+        *(F.coalesce(c, F.lit(0.0)) for c in ("cos_pa", "cos_pb")))).alias("block"))
+
+
+def _with_block(gathered: DataFrame, block: DataFrame | None, keys: list[str], size: int) -> DataFrame:
+    """The count values and, after them, the dense block of the same row (zeros where it has none)."""
+    if block is None:
+        return gathered.select(*keys, array_to_vector("values").alias("features"))
+    whole = F.concat("values", F.coalesce("block", F.array_repeat(F.lit(0.0), size)))
+    return gathered.join(block, keys, "left").select(*keys, array_to_vector(whole).alias("features"))
 
 
 @dataclass
@@ -90,12 +130,23 @@ def _layout(sizes: dict[str, int], blocks: list[str], scalars: int) -> Layout:
     return Layout(off, o + scalars)
 
 
-def pair_features(mentions: DataFrame, counts: DataFrame) -> DataFrame:
+PAIR_BLOCKS, MENTION_BLOCKS = ["p", "c", "diff", "prod"], ["diff_a", "diff_b", "prod_a", "prod_b"]
+#: Scalars after the count blocks of the two tables.
+PAIR_SCALARS, MENTION_SCALARS = 2, 13
+
+
+def count_layout(blocks: list[str], scalars: int) -> Layout:
+    """Where the count blocks of H8 (``PAIR_BLOCKS``) or H7 (``MENTION_BLOCKS``) lie."""
+    return _layout({fam: len(V.vocabulary(fam)) for fam in FAMILIES}, blocks, scalars)
+
+
+def pair_features(mentions: DataFrame, counts: DataFrame, pooled: DataFrame | None = None) -> DataFrame:
     """H8 / pairwise table ``(id, cand, label, split, features)``: P block, candidate
-    block, P-C and P*C per family, gender flag and signed offset distance."""
+    block, P-C and P*C per family, gender flag and signed offset distance; with ``pooled``
+    (A16: ``id, role, vec``) then the dense block p, c, p * c, which is never exploded."""
     spark = mentions.sparkSession
-    vocab, sizes = _vocab_index(spark)
-    lay = _layout(sizes, ["p", "c", "diff", "prod"], 2)
+    vocab, _ = _vocab_index(spark)
+    lay = count_layout(PAIR_BLOCKS, PAIR_SCALARS)
     off = spark.createDataFrame([(f, b, o) for (f, b), o in lay.offsets.items()], "family string, blk string, base int")
     cv = counts.join(F.broadcast(vocab), ["family", "feature"])          # fixed-size dimension
     cands = F.explode(F.array(F.lit("A"), F.lit("B")))
@@ -117,18 +168,21 @@ def pair_features(mentions: DataFrame, counts: DataFrame) -> DataFrame:
         F.struct(F.lit(lay.size - 1).alias("idx"),
                  (F.col("pronoun_offset") - F.col("cand_offset")).cast("double").alias("val")))).alias("e")
     ).select("id", "cand", "e.idx", "e.val")
-    vec = _dense(ent.unionByName(scal), ["id", "cand"], lay.size)
+    width = vector_width(pooled) if pooled is not None else 0
+    vec = _with_block(_gathered(ent.unionByName(scal), ["id", "cand"], lay.size),
+                      None if pooled is None else pair_vector_block(pooled, width), ["id", "cand"], 3 * width)
     return (pairs.select("id", "cand", F.col("label").cast("double").alias("label"), split_of().alias("split"))
             .join(vec, ["id", "cand"]))
 
 
-def mention_features(mentions: DataFrame, counts: DataFrame, relational: DataFrame) -> DataFrame:
+def mention_features(mentions: DataFrame, counts: DataFrame, relational: DataFrame, pooled: DataFrame | None = None,
+                     cosines: DataFrame | None = None) -> DataFrame:
     """H7 / 3-class table ``(id, label, split, features)``: P-A, P-B, P*A, P*B per family,
-    the eleven relational features and the two signed offset distances."""
+    the eleven relational features and the two signed offset distances; with ``pooled`` and
+    ``cosines`` (A16, R8) then the dense block P, A, B and the two cosines."""
     spark = mentions.sparkSession
-    vocab, sizes = _vocab_index(spark)
-    blocks = ["diff_a", "diff_b", "prod_a", "prod_b"]
-    lay = _layout(sizes, blocks, 13)
+    vocab, _ = _vocab_index(spark)
+    lay = count_layout(MENTION_BLOCKS, MENTION_SCALARS)
     off = spark.createDataFrame([(f, b, o) for (f, b), o in lay.offsets.items()], "family string, blk string, base int")
     inter = V.pair_interactions(counts).join(F.broadcast(vocab), ["family", "feature"])
     d = inter.where("diff <> 0").select("id", "family", "fi", F.concat(F.lit("diff_"), F.lower("cand")).alias("blk"),
@@ -139,14 +193,16 @@ def mention_features(mentions: DataFrame, counts: DataFrame, relational: DataFra
         "id", (F.col("base") + F.col("fi")).alias("idx"), "val")
     rel_cols = ["dep_eq_a", "dep_eq_b", "gov_dep_eq_a", "gov_dep_eq_b", "gov_upos_eq_a", "gov_upos_eq_b",
                 "overlap_a", "overlap_b", "dist_a", "dist_b", "possessive"]
-    base = lay.size - 13
+    base = lay.size - MENTION_SCALARS
     rel = relational.join(mentions.select("id", "pronoun_offset", "a_offset", "b_offset"), "id")
     scal = rel.select("id", F.explode(F.array(
         *[F.struct(F.lit(base + i).alias("idx"), F.col(c).cast("double").alias("val")) for i, c in enumerate(rel_cols)],
         F.struct(F.lit(base + 11).alias("idx"), C.signed_distance("a_offset").cast("double").alias("val")),
         F.struct(F.lit(base + 12).alias("idx"), C.signed_distance("b_offset").cast("double").alias("val")))).alias("e")
     ).select("id", "e.idx", "e.val")
-    vec = _dense(ent.unionByName(scal), ["id"], lay.size)
+    width = vector_width(pooled) if pooled is not None else 0
+    vec = _with_block(_gathered(ent.unionByName(scal), ["id"], lay.size),
+                      None if pooled is None else mention_vector_block(pooled, cosines, width), ["id"], 3 * width + 2)
     return (mentions.select("id", C.class_label().cast("double").alias("label"), split_of().alias("split"))
             .join(vec, "id"))
 

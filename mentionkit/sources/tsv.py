@@ -59,10 +59,10 @@ def write_predictions(pred: DataFrame, path: str) -> None:
 def score_files(spark: SparkSession, truth_path: str, pred_path: str) -> DataFrame:
     """The scoring entry point: log loss of a prediction CSV against a mention TSV.
 
-    Raises when the two files do not hold the same ids (the rows are matched by id)."""
+    Raises when the two files do not hold the same ids, each once (the rows are matched by id)."""
     from mentionkit.operators import evaluate as E
     truth = E.truth_table(read_mentions(spark, truth_path))
     pred = read_predictions(spark, pred_path)
     if E.alignment_gaps(truth, pred).limit(1).count() > 0:
-        raise ValueError("truth and predictions do not hold the same ids")
+        raise ValueError("truth and predictions do not hold the same ids, each once")
     return E.log_loss(truth, pred)

@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from mentionkit.operators import evaluate as E
 from mentionkit.operators import scorers as R
 from mentionkit.plans.catalog import QUERIES
@@ -19,6 +21,23 @@ def test_log_loss_renormalises_and_clips(spark):
     assert abs(ll - (-math.log(1e-15 / (1e-15 + 2 * (1 - 1e-15))))) < 1e-6
 
 
+@pytest.mark.parametrize("side", ["truth", "predictions", "missing", "extra"])
+def test_every_evaluation_fails_on_repeated_or_unmatched_ids(spark, side):
+    truth = [(i, i % 3, float(i % 3 == 0), float(i % 3 == 1), float(i % 3 == 2)) for i in range(4)]
+    pred = [(i, 0.5, 0.25, 0.25) for i in range(4)]
+    change = {"truth": (truth + truth[:1], pred), "predictions": (truth, pred + pred[2:3]),
+              "missing": (truth, pred[1:]), "extra": (truth, [*pred, (9, 1.0, 0.0, 0.0)])}
+    t, p = change[side]
+    truth = spark.createDataFrame(t, "id long, label int, y_a double, y_b double, y_n double")
+    pred = spark.createDataFrame(p, "id long, p_a double, p_b double, p_neither double")
+    features = spark.createDataFrame([], "id long, role string, family string, feature string, cnt long")
+    assert E.alignment_gaps(truth, pred).count() == 1
+    for run in (E.log_loss, E.evaluation_report, E.confusion_matrix, E.predicted_counts, E.errors_per_class, E.first_errors,
+                lambda t, p: E.error_listing(t, p, features)):
+        with pytest.raises(Exception, match="same ids|more than once"):
+            run(truth, pred).collect()
+
+
 def test_syntax_decision(spark):
     pts = spark.createDataFrame([(1, 3, 3), (2, 5, 4), (3, 4, 6), (4, 4, 4)], "id long, a_points long, b_points long")
     got = {r["id"]: (r["p_a"], r["p_b"], r["p_neither"]) for r in R.points_to_scores(pts).collect()}
