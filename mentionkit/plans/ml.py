@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from mentionkit import schema as S
 from mentionkit.functions import columns as C
 from mentionkit.operators import evaluate as E
+from mentionkit.operators import ranker as RK
 from mentionkit.operators import scorers as R
 from mentionkit.operators import tree as TR
 from mentionkit.operators import vectorize as V
@@ -250,6 +251,29 @@ def ranker_predictions(model, pairs: DataFrame) -> DataFrame:
     return R.softmax_pair(piv)
 
 
+#: Units of the shared ranker's layers: of the embedding block and of each count block.
+RANKER_UNITS = {"vectors": 150, "counts": 30}
+
+
+def ranker_blocks(size: int) -> list[tuple[list[int], int]]:
+    """K4's blocks over H8 features of ``size`` places: [p, c, p * c] of each family and of the embedding block."""
+    lay = count_layout(PAIR_BLOCKS, PAIR_SCALARS)
+    out = []
+    for fam in FAMILIES:
+        width = len(V.vocabulary(fam))
+        out.append(([lay.offsets[(fam, b)] + i for b in ("p", "c", "prod") for i in range(width)], RANKER_UNITS["counts"]))
+    return out + ([(list(range(lay.size, size)), RANKER_UNITS["vectors"])] if size > lay.size else [])
+
+
+def shared_ranker(pairs: DataFrame, **params):
+    """K4: the shared network fitted on the train split of an H8 table, stopped by its validation split; and the rows of all mentions."""
+    rows = RK.mention_rows(pairs)
+    first = rows.select(F.size("a")).first()
+    part = lambda s: rows.where(F.col("split") == s)
+    network, losses = RK.train(part("train"), part("validation"), ranker_blocks(first[0] if first else 0), **params)
+    return network, losses, rows
+
+
 # ------------------------------------------------------------------ search ---
 GBT_SPACE = {
     "stepSize": ("loguniform", 0.001, 0.1),
