@@ -251,6 +251,12 @@ def ranker_predictions(model, pairs: DataFrame) -> DataFrame:
     return R.softmax_pair(piv)
 
 
+def boosted_rows(rows: DataFrame) -> DataFrame:
+    """K1's input ``(id, split, label, x)`` from an H7 table."""
+    from pyspark.ml.functions import vector_to_array
+    return rows.select("id", "split", F.col("label").cast("int").alias("label"), vector_to_array("features").alias("x"))
+
+
 #: Units of the shared ranker's layers: of the embedding block and of each count block.
 RANKER_UNITS = {"vectors": 150, "counts": 30}
 
