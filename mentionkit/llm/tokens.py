@@ -14,7 +14,8 @@ document's sections always add up to its tokens, under every rule.
 Scale. One pass over the texts, nothing shuffled; a task holds one document's offsets. The broadcast
 vocabulary is one file whose size is checked (``MAX_VOCABULARY_BYTES``).
 
-Defined results: a null or empty text has no tokens; its sections count 0. A document without
+Defined results: a null or empty text has no tokens; its sections count 0. White space of any length
+is encoded as the vocabulary's pattern says (see ``encode``). A document without
 sections has its REST row only. Sections with a null limit or a limit outside the text are cut to the
 text (null start: 0, null end: the end); sections may be empty but not overlap (an error). Repeated
 rows and section names each give their rows. An empty table gives no rows. Other columns are ignored.
@@ -23,6 +24,7 @@ rows and section names each give their rows. An empty table gives no rows. Other
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,34 @@ RULES = ("first", "most", "split")
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+#: What the pattern's \\s matches (a fixed value: Unicode's White_Space).
+SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: White space from this length on does not go through the encoder's pattern, which would overflow its stack.
+LONG_SPACE = 20_000
+_LONG_SPACE = re.compile(f"[{SPACES}]{{{LONG_SPACE},}}")
+
+
+def encode(encoder: tiktoken.Encoding, text: str | None) -> list[int]:
+    """The text's tokens, whatever the length of its white space.
+
+    The pattern cuts a text at the begin of white space in any case, and again before the last character
+    of white space that something follows (``\\s+(?!\\S)``; that character may belong to the next word).
+    So what stands before, the run but its last character, and the rest can be encoded one by one and
+    give the same tokens; the run is a single piece, which is merged without the pattern.
+    """
+    if not text:
+        return []
+    if len(text) < LONG_SPACE:
+        return encoder.encode_ordinary(text)
+    out, at = [], 0
+    for m in _LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoder.encode_ordinary(text[at:m.start()])
+        out += encoder._encode_single_piece(text[m.start():end].encode())
+        at = end
+    return out + encoder.encode_ordinary(text[at:])
+
+
 class Vocabulary:
     """A byte-pair vocabulary; the encoder is built once in a Python worker."""
 
@@ -64,8 +94,12 @@ class Vocabulary:
         return self._built
 
 
-def broadcast_vocabulary(spark: SparkSession, path: str = VOCABULARY, pattern: str = PATTERN):
-    """The vocabulary file, read by the driver and sent to the executors."""
+def broadcast_vocabulary(spark: SparkSession, path: str | None = None, pattern: str = PATTERN):
+    """The vocabulary file, read by the driver and sent to the executors.
+
+    Without ``path``: the file that the session names in ``mentionkit.vocabulary``, else ``VOCABULARY``.
+    """
+    path = path or spark.conf.get("mentionkit.vocabulary", VOCABULARY)
     with open(path, "rb") as file:
         ranks = file.read(MAX_VOCABULARY_BYTES + 1)
     if len(ranks) > MAX_VOCABULARY_BYTES:
@@ -84,7 +118,7 @@ def attribute(text: str, sections: list[tuple[int, int]], encoder: tiktoken.Enco
               rule: str = "most") -> tuple[int, np.ndarray, np.ndarray]:
     """Tokens of the text; per section (ascending, disjoint) its tokens and the crossing ones it holds part of."""
     data = text.encode()
-    ends = np.cumsum(size[np.array(encoder.encode_ordinary(text), np.int64)])
+    ends = np.cumsum(size[np.array(encode(encoder, text), np.int64)])
     starts = np.r_[0, ends[:-1]]
     tokens, crossing = np.zeros(len(sections)), np.zeros(len(sections), np.int64)
     if not len(ends) or not sections:
@@ -163,7 +197,7 @@ def lengths(docs: DataFrame, vocabulary, name: str = "length") -> DataFrame:
         for texts in batches:
             n: list[int] = []
             for at in range(0, len(texts), CHUNK_ROWS):
-                n += [len(encoder.encode_ordinary(t)) if t else 0 for t in texts.slice(at, CHUNK_ROWS).to_pylist()]
+                n += [len(encode(encoder, t)) for t in texts.slice(at, CHUNK_ROWS).to_pylist()]
             yield pa.array(n, pa.int64())
 
     return docs.withColumn(name, F.arrow_udf(count, "long", F.ArrowUDFType.SCALAR_ITER)(F.col("text")))

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -113,3 +114,25 @@ def test_lengths(spark, encoder):
     docs = spark.createDataFrame([(1, "some text"), (2, None), (3, "")], "doc_id long, text string")
     got = T.lengths(docs.withColumn("size", F.lit(1)), T.broadcast_vocabulary(spark)).collect()
     assert sorted((r.doc_id, r.length) for r in got) == [(1, 2), (2, 0), (3, 0)]
+
+
+def test_long_white_space_gives_the_same_tokens(monkeypatch):
+    rng = random.Random(3)
+    encoder, _ = T.Vocabulary(open(T.VOCABULARY, "rb").read(), T.PATTERN).encoder()
+    spaces = [" ", "\n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000"]
+    monkeypatch.setattr(T, "LONG_SPACE", 3)
+    monkeypatch.setattr(T, "_LONG_SPACE", re.compile(f"[{T.SPACES}]{{3,}}"))
+    for _ in range(3000):
+        text = "".join("".join(rng.choices(spaces, k=rng.randrange(9))) + rng.choice(["a", "don't", "9", "!", "語", "\x1c", "\u200b", ""])
+                       for _ in range(rng.randrange(1, 6)))
+        assert T.encode(encoder, text) == encoder.encode_ordinary(text)
+
+
+def test_millions_of_blanks_line_ends_and_letters(spark):
+    texts = [" " * 5_000_000, "word" + "\n" * 5_000_000 + "word", "x" * 5_000_000, "a\t" + " \n" * 500_000 + " b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = {r.doc_id: r.length for r in T.lengths(docs, T.broadcast_vocabulary(spark)).select("doc_id", "length").collect()}
+    assert all(0 < n[i] <= len(t) for i, t in enumerate(texts))
+    sections = docs.withColumn("sections", F.expr("array(struct('all' as section, 0 as part, 0 as start, cast(null as int) as end))"))
+    got = T.token_counts(sections, T.broadcast_vocabulary(spark)).filter("section = 'all'").collect()
+    assert {r.doc_id: r.tokens for r in got} == n
