@@ -3,8 +3,8 @@
 Base rules find assignments, access keys and long hex strings. The corpus method adds what no rule
 sees in one text alone: every long mixed token is a candidate, and so is every value the base rules
 found. Candidates are counted over the whole corpus by distinct owners and distinct repositories. A
-value that many owners hold is a widely copied example; one that a single owner holds in few
-repositories, and that looks random, is a live-looking credential. Where a live-looking value also
+value that many owners hold is a widely copied example; one that a single owner holds, and that looks
+random, is a live-looking credential, in however many of its repositories it stands. Where a live-looking value also
 stands outside any base span, that place becomes an ``owned`` span. Base spans always stay; their
 values' verdicts are in ``verdicts``.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mentionkit.llm.common import bytes_to_points, materialise, python_rows, text_bytes
+from mentionkit.llm.common import bytes_to_points, free_name, materialise, python_rows, text_bytes
 
 # ---- fixed by the contract ----
 KINDS = ["assign", "access", "hex"]
@@ -52,8 +52,6 @@ CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 LEAST_ENTROPY = 3.0
 #: A value that so many owners hold is a widely copied example.
 EXAMPLE_OWNERS = 3
-#: A value of one owner in more repositories than this is a constant of theirs, not a credential.
-LIVE_REPOS = 5
 
 Span = tuple[int, int, bytes]
 
@@ -125,8 +123,8 @@ def _found() -> Column:
 def ownership(found: DataFrame) -> DataFrame:
     """``(value, owner, repo, random)`` rows -> per ``value`` its distinct ``owners`` and ``repos`` and the verdict.
 
-    ``example``: held by EXAMPLE_OWNERS owners or more; ``live``: random-looking, one owner, at most
-    LIVE_REPOS repositories; ``unclear``: the rest.
+    ``example``: held by EXAMPLE_OWNERS owners or more; ``live``: random-looking and one owner's, in however
+    many of its repositories; ``unclear``: the rest.
     """
     by_repo = found.groupBy("value", "owner", "repo").agg(F.max("random").alias("random"))
     by_owner = by_repo.groupBy("value", "owner").agg(F.count("*").alias("repos"), F.max("random").alias("random"))
@@ -134,7 +132,7 @@ def ownership(found: DataFrame) -> DataFrame:
         F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max("random").alias("random"))
     return counts.withColumn(
         "verdict", F.when(F.col("owners") >= EXAMPLE_OWNERS, "example")
-        .when(F.col("random") & (F.col("owners") == 1) & (F.col("repos") <= LIVE_REPOS), "live")
+        .when(F.col("random") & (F.col("owners") == 1), "live")
         .otherwise("unclear"))
 
 
@@ -185,15 +183,14 @@ def of_kind(spans: str | Column, *kinds: str) -> Column:
 
 def redact(docs: DataFrame, owner: str = "source", repo: str | Column = "doc_id", mark: str = "[REDACTED]") -> DataFrame:
     """``docs``, same columns, with every base and owned span of ``text`` replaced by ``mark``."""
-    found = docs.withColumn("__secrets", _found())
-    clean = found.filter(F.size("__secrets") == 0).drop("__secrets")
-    touched = materialise(found.filter(F.size("__secrets") > 0).withColumn(
-        "__row", F.monotonically_increasing_id()), "secret-rows")
-    spans = _spans(touched.select(F.col("__row").alias("row"), *_owner_columns(owner, repo),
-                                  F.col("__secrets").alias("found")))
+    secrets, row, spans_of = (free_name(docs, n) for n in ("__secrets", "__row", "__spans"))
+    found = docs.withColumn(secrets, _found())
+    clean = found.filter(F.size(secrets) == 0).drop(secrets)
+    touched = materialise(found.filter(F.size(secrets) > 0).withColumn(row, F.monotonically_increasing_id()), "secret-rows")
+    spans = _spans(touched.select(F.col(row).alias("row"), *_owner_columns(owner, repo), F.col(secrets).alias("found")))
     cut = F.arrow_udf(lambda texts, at: _replaced(texts, at, mark), "string", F.ArrowUDFType.SCALAR)
-    redacted = (touched.join(spans.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")), "__row", "left")
-                .withColumn("text", cut("text", F.transform("__spans", lambda s: F.struct(s["start"], s["end"]))))
+    redacted = (touched.join(spans.select(F.col("row").alias(row), F.col("spans").alias(spans_of)), row, "left")
+                .withColumn("text", cut("text", F.transform(spans_of, lambda s: F.struct(s["start"], s["end"]))))
                 .select(*docs.columns))
     return clean.unionByName(redacted)
 

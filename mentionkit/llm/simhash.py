@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mentionkit.llm.common import materialise, python_rows, text_bytes
+from mentionkit.llm.common import free_name, materialise, python_rows, text_bytes
 from mentionkit.llm.graph import components
 
 SHINGLE_WORDS = 4
@@ -262,13 +262,13 @@ def one_per_group(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int =
 
     Same columns. Rows that cannot be told apart by id and text count as one.
     """
-    fp, root = "__simhash_fp", "__simhash_root"
+    fp, root, least = (free_name(docs, n) for n in ("__simhash_fp", "__simhash_root", "__simhash_id"))
     stamped = with_fingerprint(docs, shingle, fp)
     slim = materialise(stamped.select("doc_id", F.col(fp).alias("fp")), "simhash")
     groups = fingerprint_groups(slim, max_bits)
     kept = stamped.join(groups.select(F.col("fp").alias(fp), F.col("root").alias(root),
-                                      F.col("component_id").alias("__simhash_id")), fp)
-    kept = kept.filter(F.col("doc_id").eqNullSafe(F.col("__simhash_id")))
+                                      F.col("component_id").alias(least)), fp)
+    kept = kept.filter(F.col("doc_id").eqNullSafe(F.col(least)))
     # the smallest id is one row, but for repeated ids
     first = kept.groupBy(root).agg(F.min_by(F.struct(*(kept[c] for c in docs.columns)), F.struct(
         F.coalesce("text", F.lit("")), F.col("text").isNotNull())).alias("row"))

@@ -22,19 +22,18 @@ def brute_base(text):
 def brute(docs):
     """Base and owned spans of (doc_id, text, source) rows."""
     every = []
-    owners, repos, rand = defaultdict(set), defaultdict(set), {}
-    for doc, text, source in docs:
+    owners, rand = defaultdict(set), {}
+    for _, text, source in docs:
         base = brute_base(text or "")
         loose = [("owned", m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or "")
                  if S.looks_random(m[0].encode()) and not any(a < m.end() and m.start() < b for _, a, b, _ in base)]
         every.append((base, loose))
         for _, _, _, v in base + loose:
             owners[v].add(source)
-            repos[v].add((source, doc))
             rand[v] = S.looks_random(v.encode())
     out = []
     for base, loose in every:
-        live = [s for s in loose if rand[s[3]] and len(owners[s[3]]) == 1 and len(repos[s[3]]) <= S.LIVE_REPOS]
+        live = [s for s in loose if rand[s[3]] and len(owners[s[3]]) == 1]
         out.append(sorted(base + live, key=lambda s: (s[1], [*S.KINDS, "owned"].index(s[0]))))
     return out
 
@@ -51,7 +50,7 @@ def rows():
     live = "q8W3e7R1t5Y9u2I6o0P4"
     docs += [(900, None, "s1"), (901, "", None), (None, f"x {live} y", "s9"), (902, f"é {live}", "s9"),
              (902, f"é {live}", "s9"), (903, f"token={live}", "s9"),
-             *((910 + i, "only Kk77jj66HH55gg44FF33 here", "own") for i in range(S.LIVE_REPOS + 1))]
+             *((910 + i, "only Kk77jj66HH55gg44FF33 here", "own") for i in range(6))]
     return docs
 
 
@@ -109,13 +108,17 @@ def test_query_digest(spark, tmp_path):
     assert got[2].spans == "" and got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
-def test_copies_of_a_text_are_one_repository(spark, tmp_path):
+def test_one_owner_is_enough_in_any_number_of_places(spark, tmp_path):
     from mentionkit.llm.catalog import QUERIES
-    copies, constant = "key Qq11ww22EE33rr44TT55 here", "Aa99bb88CC77dd66EE55"
-    docs = [(i, copies, "a") for i in range(S.LIVE_REPOS + 3)]
-    docs += [(100 + i, f"{constant} in place {i}", "b") for i in range(S.LIVE_REPOS + 1)]
+    copies, one, many = "key Qq11ww22EE33rr44TT55 here", "Aa99bb88CC77dd66EE55", "Zz12yy34XX56ww78VV90"
+    docs = [(i, copies, "a") for i in range(8)]
+    docs += [(100 + i, f"{one} in place {i}", "b") for i in range(9)]
+    docs += [(200 + i, f"{many} in place {i}", f"s{i}") for i in range(S.EXAMPLE_OWNERS)]
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.spans for r in QUERIES["op8_secret_scan"](spark, str(tmp_path)).collect()}
-    assert all(got[d] == ("owned:4:24" if d < 100 else "") for d, _, _ in docs)
-    redacted = S.redact(spark.createDataFrame(docs, "doc_id long, text string, source string"), repo=S.distinct_text())
-    assert {r.doc_id: "REDACTED" in r.text for r in redacted.collect()} == {d: d < 100 for d, _, _ in docs}
+    assert got == {d: "owned:4:24" if d < 100 else "owned:0:20" if d < 200 else "" for d, _, _ in docs}
+    clashing = spark.createDataFrame([(*d, "x", "y", "z") for d in docs],
+                                     "doc_id long, text string, source string, __row string, __secrets string, __SPANS string")
+    redacted = S.redact(clashing, repo=S.distinct_text())
+    assert redacted.columns == clashing.columns
+    assert {r.doc_id: "REDACTED" in r.text for r in redacted.collect()} == {d: d < 200 for d, _, _ in docs}
