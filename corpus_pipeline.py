@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionkit.llm import decontaminate, packing, secrets, simhash, tokens, toxicity
-from mentionkit.llm.common import crc_fold, materialise, read
+from mentionkit.llm.common import crc_fold, free_name, materialise, read
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below one half; learnt as ``op7_toxicity`` does."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"), crc_fold("doc_id", 5) != 0)
-    return toxicity.with_score(docs, model, "__toxic").filter("__toxic < 0.5").select(*docs.columns)
+    score = free_name(docs, "__toxic")
+    return toxicity.with_score(docs, model, score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
