@@ -6,6 +6,7 @@ cuts at exactly ``[\\x20\\x09-\\x0D]+``, which is what the query contracts ask f
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,6 +54,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs whose DataFrames are gone.
+
+    Spark removes them when the driver's garbage collector finds them unreachable; a driver with little
+    garbage of its own may not collect for long, while every finished level's files stay on the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def python_rows(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK_ROWS) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples; at most ``chunk`` rows are Python objects at a time."""
     for batch in batches:
