@@ -29,10 +29,12 @@ from mentionkit.session import shared_folder
 
 
 def _code_version() -> str:
-    """Hash of this package's source: any code change gives staged tables a new key."""
+    """Hash of this package's source: any code change gives staged tables a new key (but for ``llm``, which stages none)."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     h = hashlib.sha1()
     for dirpath, _, files in sorted(os.walk(root)):
+        if os.path.relpath(dirpath, root).split(os.sep)[0] == "llm":
+            continue
         for f in sorted(files):
             if f.endswith(".py"):
                 with open(os.path.join(dirpath, f), "rb") as fh:
