@@ -31,7 +31,7 @@ def read_mentions(spark: SparkSession, path: str, with_url: bool | None = None)
           .option("multiLine", True).option("quote", '"').option("escape", '"')
           .option("mode", "FAILFAST").csv(path))
     df = df.select(*[F.col(f"`{c}`").alias(S.MENTION_RENAMES.get(c, c)) for c in df.columns])
-    return df.withColumn("doc_id", F.xxhash64("text"))
+    return df.withColumn("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
 def write_mentions(mentions: DataFrame, path: str) -> None:
