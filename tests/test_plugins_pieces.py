@@ -96,3 +96,64 @@ def test_plugin_model_is_made_once_in_a_worker(spark):
         assert R.predict_with_plugin(prompts, factory, key="count").count() == 64
     calls = os.listdir(folder)
     assert len(calls) == len({c.split("-")[0] for c in calls}) < 32
+
+
+def brute_pieces(word, ids):
+    """Longest match first, character by character."""
+    out, rest, mark = [], word, ""
+    while rest:
+        fit = [n for n in range(1, len(rest) + 1) if mark + rest[:n] in ids]
+        if not fit or len(word) > WP.LONGEST_WORD:
+            return [("[UNK]", 7)]
+        out.append((mark + rest[:max(fit)], ids[mark + rest[:max(fit)]]))
+        rest, mark = rest[max(fit):], "##"
+    return out
+
+
+def test_vocabulary_pieces_equal_brute_force_broadcast_and_joined(spark):
+    import random
+    rng = random.Random(2)
+    pieces = {"".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(30)} | {"é", "##é"}
+    pieces |= {"##" + "".join(rng.choices("abc", k=rng.randint(1, 3))) for _ in range(12)}
+    ids = {p: i + 10 for i, p in enumerate(sorted(pieces))}
+    words = ["".join(rng.choices("abcé", k=rng.randint(1, 9))) for _ in range(150)] + ["a" * 101, "a" * 100, "", "zz"]
+    table = spark.createDataFrame([(w,) for w in words + words[:20]], "word string")
+    vocabulary = spark.createDataFrame(list(ids.items()), "piece string, id int")
+    want = {w: brute_pieces(w, ids) for w in words if w}
+    for most in (WP.MOST_BROADCAST_PIECES, 0):
+        got = WP.vocabulary_pieces(table, vocabulary, 7, most_broadcast=most).collect()
+        assert len(got) == len(want) and {r.word: [tuple(p) for p in r.pieces] for r in got} == want
+    docs = spark.createDataFrame([(1, 1, "é"), (1, 0, "zz"), (1, 2, "é"), (2, 0, "zz")], "doc_id long, wi int, word string")
+    packed = {r.doc_id: r for r in WP.pack_features(WP.passage_pieces(docs, WP.vocabulary_pieces(docs, vocabulary, 7)), seq_length=4).collect()}
+    assert packed[2].input_ids == [101, 7, 102, 0] and packed[2].input_mask == [1, 1, 1, 0] and packed[2].reason is None
+    assert packed[1].input_ids == [101, 7, ids["é"], ids["é"], 102] and packed[1].reason == "more than 4 tokens"
+
+
+def test_vectors_from_a_plugin_keep_shape_budget_and_masks(spark, tmp_path):
+    calls = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        import numpy as np
+        open(os.path.join(calls, f"made-{uuid.uuid4().hex}"), "w").close()
+
+        def embed(ids, mask):
+            assert ids.shape[0] == 1 or ids.size <= 40
+            assert ((ids != 0) == (mask == 1)).all()
+            return np.stack([ids * 1.0, ids * 2.0])[..., None] + np.zeros(3)
+        return embed
+
+    rows = [(i, [f"t{j}" for j in range(n)], n, list(range(1, n + 1)) + [0] * 5, "too long" if n > 60 else None)
+            for i, n in enumerate([3, 50, 1, 7, 7, 20, 61, 2, 0])]
+    packed = spark.createDataFrame(rows, "doc_id long, tokens array<string>, n_tokens int, input_ids array<int>, reason string").coalesce(1)
+    got = WP.vectors_with_plugin(packed, factory, key=f"toy-{calls}", token_budget=40).collect()
+    assert len(got) == 2 * sum(n for _, _, n, _, reason in rows if not reason)
+    assert all(r.vector == [(r.j + 1.0) * (r.layer + 1)] * 3 for r in got)
+    import os
+    assert len(os.listdir(calls)) == 1
+    import pytest
+    bad = WP.vectors_with_plugin(packed, lambda: lambda ids, mask: ids * 1.0, key="bad")
+    with pytest.raises(Exception, match="shape"):
+        bad.collect()
