@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from mentionkit import schema as S
 from mentionkit.operators.annotate import annotate
 from mentionkit.sources.staging import input_fingerprint, staged
+from mentionkit.sources.store import Store
 from mentionkit.sources.tables import passages as read_passages
 
 MENTION_COLUMNS = ["id", "doc_id", "text", "pronoun", "pronoun_offset", "a", "a_offset",
@@ -130,11 +131,13 @@ def load_context(spark: SparkSession, sf_dir: str, radius: int = DEFAULT_RADIUS)
 
 def corpus_from_mentions(spark: SparkSession, mentions: DataFrame, stage_key: str | None = None) -> Corpus:
     """A corpus for a labelled mention table (e.g. read from TSV): passages are the distinct
-    texts (``doc_id`` = text hash; partial aggregation collapses copies before the shuffle)."""
+    texts (``doc_id`` = the text's digest; partial aggregation collapses copies before the shuffle).
+    With a key, words come from the shared annotation store, where only new texts are parsed."""
     passages = mentions.select("doc_id", "text").dropDuplicates(["doc_id"])
     if stage_key is None:
         return Corpus(passages, annotate(passages), mentions)
-    words = staged(spark, "words", stage_key, lambda: annotate(passages), sort_by=["doc_id", "wi"])
+    words = staged(spark, "words", stage_key, lambda: Store.shared(spark, "words", annotate).words(passages),
+                   sort_by=["doc_id", "wi"])
     return Corpus(passages, words, mentions, stage_key)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionkit import schema as S
+from mentionkit.sources.store import text_digest
 
 
 def read_mentions(spark: SparkSession, path: str, with_url: bool | None = None) -> DataFrame:
@@ -31,7 +32,7 @@ def read_mentions(spark: SparkSession, path: str, with_url: bool | None = None)
           .option("multiLine", True).option("quote", '"').option("escape", '"')
           .option("mode", "FAILFAST").csv(path))
     df = df.select(*[F.col(f"`{c}`").alias(S.MENTION_RENAMES.get(c, c)) for c in df.columns])
-    return df.withColumn("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return df.withColumn("doc_id", text_digest())
 
 
 def write_mentions(mentions: DataFrame, path: str) -> None:
