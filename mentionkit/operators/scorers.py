@@ -133,12 +133,17 @@ def top_predictions(candidates: DataFrame, k: int = 5) -> DataFrame:
                       (F.col("e") / F.sum("e").over(wid)).alias("prob"))
 
 
+#: Prompts that a plug-in model gets at a time.
+PROMPTS = 64
+
+
 def predict_with_plugin(prompts: DataFrame, factory, key: str = "lm") -> DataFrame:
     """K6: score ``(id, prompt)`` with a plug-in model loaded once per Python worker.
 
     ``factory()`` returns ``predict(list[str]) -> list[list[(token, logit)]]``;
-    it is called once per Arrow batch. Output ``(id, token, logit)`` holds every candidate the model
-    gives, in any order; ranking and cutting is T2's.
+    it is called for at most ``PROMPTS`` prompts at a time, whose candidates are handed on before the
+    next call. Output ``(id, token, logit)`` holds every candidate the model gives, in any order; ranking
+    and cutting is T2's.
     """
     import pandas as pd
 
@@ -147,9 +152,10 @@ def predict_with_plugin(prompts: DataFrame, factory, key: str = "lm") -> DataFra
     def run(batches):
         fn = get()
         for pdf in batches:
-            outs = fn(list(pdf["prompt"]))
-            rows = [(i, t, float(l)) for i, cands in zip(pdf["id"], outs) for t, l in cands]
-            yield pd.DataFrame(rows, columns=["id", "token", "logit"])
+            for at in range(0, len(pdf), PROMPTS):
+                part = pdf.iloc[at:at + PROMPTS]
+                rows = [(i, t, float(l)) for i, cands in zip(part["id"], fn(list(part["prompt"]))) for t, l in cands]
+                yield pd.DataFrame(rows, columns=["id", "token", "logit"])
 
     id_type = dict(prompts.dtypes)["id"]
     return prompts.select("id", "prompt").mapInPandas(run, f"id {id_type}, token string, logit double")
