@@ -21,6 +21,19 @@ from mentionkit.llm import decontaminate, packing, secrets, simhash, tokens, tox
 from mentionkit.llm.common import crc_fold, free_name, materialise, read
 
 
+#: Bytes of an Arrow batch to a Python task, at most: whole rows travel, and both ends hold a batch or two.
+BATCH_BYTES = 8 << 20
+
+
+def _bounded(spark: SparkSession) -> SparkSession:
+    """The session, with smaller Arrow batches where it allows more (a row that is larger travels alone)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "0").rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return spark
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """``n_chars`` of the text as it is now; where there is no text it stays."""
     return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
@@ -28,29 +41,31 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below one half; learnt as ``op7_toxicity`` does."""
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"), crc_fold("doc_id", 5) != 0)
+    model = toxicity.fit(docs, read(_bounded(spark), sf_dir, "labels", "doc_id", "toxic"), crc_fold("doc_id", 5) != 0)
     score = free_name(docs, "__toxic")
     return toxicity.with_score(docs, model, score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: the one with the smallest id."""
+    _bounded(spark)
     return simhash.one_per_group(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages cut out; documents that are mostly benchmark go."""
-    return _counted(decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark", "item_id", "text")))
+    return _counted(decontaminate.decontaminate(docs, read(_bounded(spark), sf_dir, "benchmark", "item_id", "text")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets replaced by a mark."""
+    _bounded(spark)
     return _counted(secrets.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces in training sequences; a document has one end-of-document token."""
-    sized = tokens.lengths(docs.select("doc_id", "text"), tokens.broadcast_vocabulary(spark))
+    sized = tokens.lengths(docs.select("doc_id", "text"), tokens.broadcast_vocabulary(_bounded(spark)))
     return packing.pack_documents(sized.select("doc_id", (F.col("length") + 1).alias("length")))
 
 
