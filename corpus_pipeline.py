@@ -28,8 +28,9 @@ BATCH_BYTES = 8 << 20
 def _bounded(spark: SparkSession) -> SparkSession:
     """The session, with smaller Arrow batches where it allows more (a row that is larger travels alone)."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "0").rstrip("b")
-    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+    now = spark.conf.get(name).lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1], 0)
+    if int(now.rstrip("kmg")) << unit > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
     return spark
 
