@@ -6,6 +6,7 @@ cuts at exactly ``[\\x20\\x09-\\x0D]+``, which is what the query contracts ask f
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -70,6 +71,15 @@ def python_rows(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK_ROWS) -> I
         for at in range(0, batch.num_rows, chunk):
             part = batch.slice(at, chunk)
             yield from zip(*(c.to_pylist() for c in part.columns))
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: a Python worker lives on for other stages' tasks, whose needs add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
 
 
 def arrow_out(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int] | None = None,
