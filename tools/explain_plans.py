@@ -13,18 +13,19 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from __spark_entry__ import queries  # noqa: E402
+from mentionkit.plans.catalog import QUERIES  # noqa: E402
 from mentionkit.session import build_session  # noqa: E402
 
-MODEL_JOBS = {"k1_forest_3class", "k2_pairwise_gbt", "k3_search_pairwise", "k4_linear_pair_ranker",
-              "s5_model_roundtrip"}
+#: They train when they are planned.
+MODEL_JOBS = {"k1_forest_3class", "k1_softmax_boosting", "k2_pairwise_gbt", "k3_search_pairwise", "k3_search_refit_predict",
+              "k4_linear_pair_ranker", "k4_shared_pair_ranker", "s5_model_roundtrip", "s5_trained_scorers"}
 SHOWN = ["a1_mention_profile", "w3_positional_window", "j9_span_pieces"]
 
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session()
-    qs = queries()
+    qs = QUERIES
     qs["fixture_mentions"](spark, sf).count()           # stage the shared tables first
     lines = ["# Physical plans", "",
              f"Planned on `{sf}` (local). Counts are operators in the executed plan; "
