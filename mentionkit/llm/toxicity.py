@@ -46,7 +46,7 @@ WORD_CACHE = 200_000
 #: Characters whose n-grams are laid out at a time.
 SLICE = 100_000
 #: Tasks of a step of the fit, at most: each returns a gradient over the kept features.
-STEP_TASKS = 16
+STEP_TASKS = 8
 #: Features in a stored row of the fit, about.
 BLOCK_ENTRIES = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
