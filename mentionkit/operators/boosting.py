@@ -142,14 +142,15 @@ def _chosen(s: Settings, number: int, block: int, rows: int) -> np.ndarray:
 
 
 def fit(rows: DataFrame, s: Settings = Settings(), classes: int = 3,
-        after_round: Callable[[int, SoftmaxTrees], bool] | None = None) -> SoftmaxTrees:
+        after_round: Callable[[int, SoftmaxTrees], bool] | None = None, edges: list[np.ndarray] | None = None) -> SoftmaxTrees:
     """Boosted trees from ``rows(label int, x array<double>)``; ``after_round`` may end the fit by returning true.
 
+    ``edges``: of ``quantile_edges``, for several fits on the same rows; worked out where they are not given.
     Rows with a null label are left out; an empty table gives no trees and equal probabilities.
     """
     spark = rows.sparkSession
     rows = rows.filter("label is not null").select("label", "x")
-    model = SoftmaxTrees(quantile_edges(rows, "x", s.bins), classes, s.depth)
+    model = SoftmaxTrees(quantile_edges(rows, "x", s.bins) if edges is None else edges, classes, s.depth)
     width = len(model.edges)
     if not width:
         return model
@@ -266,3 +267,20 @@ def predict(model: SoftmaxTrees, rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["id"], *(pa.array(p[:, k]) for k in range(3))], names=["id", "p_a", "p_b", "p_neither"])
 
     return rows.select("id", "x").mapInArrow(score, f"id {rows.schema['id'].dataType.simpleString()}, p_a double, p_b double, p_neither double")
+
+
+def probability(model: SoftmaxTrees, rows: DataFrame, keys: list[str], c: int = 1) -> DataFrame:
+    """``(*keys, p)``: the probability of one class for rows with ``x``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                x = part["x"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                p = model.probabilities(x)[:, c] if model.edges else np.full(len(x), 1 / model.classes)
+                yield pa.RecordBatch.from_arrays([*(part[k] for k in keys), pa.array(p)], names=[*keys, "p"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keys, "x").mapInArrow(score, f"{kinds}, p double")

@@ -9,6 +9,7 @@ fitting runs as Spark jobs and the driver holds only parameters and metrics.
 
 from __future__ import annotations
 
+import json
 import random
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from mentionkit import schema as S
 from mentionkit.functions import columns as C
+from mentionkit.operators import boosting as BO
 from mentionkit.operators import evaluate as E
 from mentionkit.operators import ranker as RK
 from mentionkit.operators import scorers as R
+from mentionkit.operators import search as SE
 from mentionkit.operators import tree as TR
 from mentionkit.operators import vectorize as V
 from mentionkit.operators import windows as W
@@ -337,6 +340,72 @@ def search_and_refit(pairs: DataFrame, mentions: DataFrame, trials: int = 100, s
     return gbt(maxIter=max_iter, **best).fit(pairs.where(F.col("split") != "test")), results
 
 
+#: Of the pairwise booster, as the task's search has it; but for the depth, as trees are complete.
+BOOSTING_SPACE = {
+    "eta": SE.Range(0.001, 0.1, log=True), "depth": SE.Range(3, 6, step=1), "gamma": SE.Range(0.05, 1.0, log=True),
+    "min_child_weight": SE.Range(1, 7, step=1), "subsample": SE.Range(0.6, 1.0, step=0.1), "colsample": SE.Range(0.6, 1.0, step=0.1)}
+
+
+def boosted_pairs(pairs: DataFrame) -> DataFrame:
+    """The booster's input ``(id, cand, split, label, x)`` from an H8 table."""
+    return pairs.select("id", "cand", "split", F.col("label").cast("int").alias("label"), vector_to_array("features").alias("x"))
+
+
+def boosted_pair_predictions(model: BO.SoftmaxTrees, rows: DataFrame) -> DataFrame:
+    """K2 + R6 by the own booster."""
+    return R.pair_rates(BO.probability(model, rows, ["id", "cand"]))
+
+
+def search_boosting(rows: DataFrame, truth: DataFrame, trials: int = 100, rounds: int = 100, every: int = 5,
+                    parallel: int = 4, seed: int = 0, startup: int = SE.STARTUP) -> tuple[SE.Trial, list[SE.Trial]]:
+    """K3 on ``boosted_pairs``: fits on the train split that report the log loss (A9 over R6) of the validation split.
+
+    A trial reports after each ``every`` rounds and is pruned or grown to ``rounds``. ``truth``: of the validation split.
+    """
+    train, held = (rows.where(F.col("split") == s) for s in ("train", "validation"))
+    edges = BO.quantile_edges(train, "x", BO.Settings.bins)
+
+    def run(params: dict, report) -> None:
+        def after_round(number: int, model: BO.SoftmaxTrees) -> bool:
+            grown = number + 1
+            if grown % every and grown != rounds:
+                return False
+            return report(grown, E.log_loss(truth, boosted_pair_predictions(model, held)).first()["log_loss"])
+        BO.fit(train, BO.Settings(rounds=rounds, seed=seed, **params), 2, after_round, edges)
+
+    return SE.search(BOOSTING_SPACE, run, trials, parallel, seed, startup)
+
+
+TRIALS_SCHEMA = "trial int, rounds int, reason string, log_loss double, best boolean, params string, losses map<int,double>"
+
+
+def trial_table(spark, best: SE.Trial, trials: list[SE.Trial]) -> DataFrame:
+    """A row a trial: rounds run, why it ended, its loss, and whether it is the best; parameters as JSON."""
+    return spark.createDataFrame([
+        (t.number, t.rounds, "pruned" if t.pruned else "finished", float(t.loss), t is best,
+         json.dumps(t.params, sort_keys=True), t.losses) for t in trials], TRIALS_SCHEMA)
+
+
+def staged_trials(cx, **settings) -> DataFrame:
+    """The trials of a search over a context's pair table, staged (S4) under its inputs and settings."""
+    from mentionkit.sources.staging import staged
+    spark = cx.targets.sparkSession
+    name = "trials-" + "-".join(f"{k}{v}" for k, v in sorted(settings.items()))
+
+    def compute() -> DataFrame:
+        truth = E.truth_table(cx.corpus.mentions.where(split_of() == "validation"))
+        return trial_table(spark, *search_boosting(boosted_pairs(staged_pairs(cx)), truth, **settings))
+
+    return staged(spark, name, cx.key, compute)
+
+
+def refit_best(rows: DataFrame, trials: DataFrame, seed: int = 0) -> BO.SoftmaxTrees:
+    """The best trial's parameters and rounds, fitted on train and validation."""
+    best = trials.where("best").first()
+    settings = BO.Settings(rounds=best.rounds, seed=seed, **json.loads(best.params))
+    return BO.fit(rows.where(F.col("split") != "test"), settings, 2)
+
+
 def staged_pairs(cx) -> DataFrame:
     """The assembled pairwise table of a corpus context, staged once (S4) for fits and predictions."""
     from mentionkit.sources.staging import staged
