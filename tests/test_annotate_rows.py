@@ -76,3 +76,22 @@ def test_a_job_on_passages_stages_no_words(spark):
     assert corpus.passages.count() == len(TEXTS)
     assert not any(corpus.key in f for f in (os.listdir(staged) if os.path.isdir(staged) else []))
     assert corpus.mentions.count() >= 0 and any(f.startswith("words-") and corpus.key in f for f in os.listdir(staged))
+
+
+def test_large_staged_tables_are_not_broadcast(spark, monkeypatch):
+    """A compressed table's file size says little about its rows; they must not meet on the driver."""
+    from mentionkit.sources import staging
+    key = os.path.basename(tempfile.mkdtemp(prefix="mk-size-"))
+    small = staging.staged(spark, "size", key, lambda: spark.range(1000))
+    plan = lambda t: spark.range(10**9).join(t, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(small)
+    monkeypatch.setattr(staging, "MOST_BROADCAST_BYTES", 100)
+    large = staging.staged(spark, "size", key, lambda: spark.range(1000))
+    assert "SortMergeJoin" in plan(large) and large.join(spark.range(5), "id").count() == 5
+
+
+def test_words_stored_in_order_read_back_the_same(spark):
+    from mentionkit.sources.staging import staged
+    words = A.tokenize_words(spark.createDataFrame(TEXTS, "doc_id long, text string"))
+    back = staged(spark, "in-order", os.path.basename(tempfile.mkdtemp(prefix="mk-order-")), lambda: words, in_order=True)
+    assert sorted(map(tuple, back.collect())) == _by_hand(TEXTS)
