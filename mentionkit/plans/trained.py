@@ -71,8 +71,8 @@ def features(cx, kind: str, pooled: DataFrame | None = None, cosines: DataFrame
     """The rows of a context's mentions that a kind reads, with their split and label."""
     counts = M.staged_counts(cx) if cx.key else M.long_counts(cx.targets, cx.near_words)
     if kind == "ranker":
-        return RK.mention_rows(M.pair_features(cx.corpus.mentions, counts, pooled))
-    return M.boosted_rows(M.mention_features(cx.corpus.mentions, counts, TR.relational_features(cx.targets, cx.near_words), pooled, cosines))
+        return RK.mention_rows(M.pair_features(cx.corpus.spans, counts, pooled))
+    return M.boosted_rows(M.mention_features(cx.corpus.spans, counts, TR.relational_features(cx.targets, cx.near_words), pooled, cosines))
 
 
 def train(cx, kind: str, pooled: DataFrame | None = None, cosines: DataFrame | None = None, **settings) -> Saved:
