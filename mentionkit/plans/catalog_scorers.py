@@ -82,8 +82,8 @@ def _r3(cx):
 
 
 def _t2(cx):
-    # the scope spans whole sentence ranges: it reads all words, not the neighbourhood
-    return R.top_predictions(R.scope_name_counts(cx.targets, cx.corpus.words))
+    # the scope spans whole sentence ranges: it reads all names, not the neighbourhood's
+    return R.top_predictions(R.scope_name_counts(cx.targets, cx.near_words, cx.corpus.names()))
 
 
 def _r4(cx):
@@ -124,7 +124,7 @@ def q_r5(spark, sf_dir):
           doubles=REPORT_DOUBLES)
 def q_k7_cascade(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return E.evaluation_report(E.truth_table(cx.corpus.mentions), _r5(cx))
+    return E.evaluation_report(E.truth_table(cx.corpus.spans), _r5(cx))
 
 
 @register("a12_confusion_cascade", with_ctes("""
@@ -133,7 +133,7 @@ FROM (SELECT unnest([0, 1, 2]) AS c) l CROSS JOIN (SELECT unnest([0, 1, 2]) AS c
 LEFT JOIN ev ON ev.label = l.c AND ev.pred = p.c GROUP BY l.c, p.c""", R5_SQL + _eval_sql("r5_scores")))
 def q_a12_cascade(spark, sf_dir):
     cx = load_context(spark, sf_dir)
-    return E.confusion_matrix(E.truth_table(cx.corpus.mentions), _r5(cx))
+    return E.confusion_matrix(E.truth_table(cx.corpus.spans), _r5(cx))
 
 
 @register("r6_pair_rates_overlap", with_ctes(f"""
@@ -169,4 +169,4 @@ def q_r7(spark, sf_dir):
 def q_k7_syntax(spark, sf_dir):
     """K7 over the syntax-points scorer alone."""
     cx = load_context(spark, sf_dir)
-    return E.evaluation_report(E.truth_table(cx.corpus.mentions), _r3(cx))
+    return E.evaluation_report(E.truth_table(cx.corpus.spans), _r3(cx))

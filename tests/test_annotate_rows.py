@@ -95,3 +95,50 @@ def test_words_stored_in_order_read_back_the_same(spark):
     words = A.tokenize_words(spark.createDataFrame(TEXTS, "doc_id long, text string"))
     back = staged(spark, "in-order", os.path.basename(tempfile.mkdtemp(prefix="mk-order-")), lambda: words, in_order=True)
     assert sorted(map(tuple, back.collect())) == _by_hand(TEXTS)
+
+
+MANY = [(d, f"Then he saw {' '.join(names)} of the town. She left, Zoë {names[0]} said. " * (d % 3 + 1))
+        for d, names in enumerate([["Ann", "Bob"], ["Ann"], ["Bob", "Carl", "Ann", "Dora"], ["Eve", "Fred", "Gil"]] * 3)]
+
+
+@pytest.fixture(scope="module")
+def odd_corpus(spark):
+    """Passages that come twice, without id, without text, and with a negative id."""
+    rows = MANY + [MANY[4], MANY[4], MANY[7], (MANY[4][0], None), (None, MANY[0][1]), (-3, MANY[2][1]), (90, None), (91, "")]
+    folder = tempfile.mkdtemp(prefix="mk-odd-")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_mentions_come_from_the_marked_words_alone(spark, odd_corpus):
+    """The same mentions as from a table of all words, which is neither staged nor shuffled for them."""
+    from collections import Counter
+    from mentionkit.plans.fixture import MENTION_COLUMNS, load_context, mention_fixture
+    whole, corpus = load_corpus(spark, odd_corpus, stage=False), load_corpus(spark, odd_corpus)
+    assert corpus.mentions.columns == MENTION_COLUMNS
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    want = rows(mention_fixture(A.annotate(whole.passages), whole.passages).drop("text"))
+    assert len(want) >= 9 and max(want.values()) == 4
+    assert rows(corpus.spans.select(*whole.spans.columns)) == want == rows(corpus.mentions.drop("text"))
+    cx = load_context(spark, odd_corpus)
+    sizes = {r.doc_id: r.n_words for r in A.doc_sizes(whole.words).collect()}
+    assert cx.targets.count() == 3 * sum(want.values()) and all(r.n_words == sizes[r.doc_id] for r in cx.targets.collect())
+    assert cx.near_words.count() == cx.near_words.select("doc_id", "wi").distinct().count()
+    assert not any(f.startswith(f"words-{corpus.key}") or f.startswith(f"near_words-12-{corpus.key}") for f in os.listdir(f"{shared_folder(spark)}/staged"))
+
+
+def test_phrases_and_names_are_read_from_passages(spark, odd_corpus):
+    """Phrase hits and scope names as from all words, of which only those asked for are shuffled."""
+    from collections import Counter
+    from mentionkit.operators import phrase as PH
+    from mentionkit.operators import scorers as R
+    from mentionkit.plans.fixture import load_context
+    cx, words = load_context(spark, odd_corpus), A.annotate(load_corpus(spark, odd_corpus).passages)
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    asked = spark.createDataFrame([(1, 4, "the town"), (2, 4, "HE saw Ann"), (3, 2, "zoë"), (4, 2, "Zoë bob"), (5, 77, "he"), (6, 3, "")],
+                                  "id long, doc_id long, phrase string")
+    ph = PH.phrase_lemmas(asked)
+    some = cx.corpus.words_like(ph)
+    assert rows(PH.phrase_hits(ph, some)) == rows(PH.phrase_hits(ph, words)) and 0 < some.count() < words.count() / 4
+    assert rows(R.scope_name_counts(cx.targets, cx.near_words, cx.corpus.names())) == rows(R.scope_name_counts(cx.targets, words))
+    assert not any(f.startswith(f"words-{cx.key}") for f in os.listdir(f"{shared_folder(spark)}/staged"))
