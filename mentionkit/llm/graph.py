@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mentionkit.llm.common import materialise
+from mentionkit.llm.common import materialise, release
 
 #: Rounds after which the job gives up with an error; the method needs about log2(longest path)^2.
 MAX_ROUNDS = 100
@@ -38,4 +38,5 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(
                 edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
         seen = now
+        release(links.sparkSession)  # the round's shuffle files, and the driver's record of its tasks
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -21,6 +21,7 @@ a row. An empty table gives no rows. Only ``text`` is an input of a score.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mentionkit.llm.common import CHUNK_ROWS, materialise, python_rows, text_bytes
+from mentionkit.llm.common import CHUNK_ROWS, materialise, python_rows, release, text_bytes
 from mentionkit.llm.labelled import ROWS_PER_CLASS, labelled_sample, prior_shift, share_of_ones
 from mentionkit.operators.fitting import minimise, summed_gradient
 
@@ -47,6 +48,8 @@ WORD_CACHE = 200_000
 SLICE = 100_000
 #: Tasks of a step of the fit, at most: each returns a gradient over the kept features.
 STEP_TASKS = 8
+#: Steps of the fit after which the driver's garbage is collected, so that it does not grow to its limit.
+STEPS_HELD = 4
 #: Features in a stored row of the fit, about.
 BLOCK_ENTRIES = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -171,9 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxi
                                          names=["bucket", "n0", "n1", "docs"])
 
     counts = texts.mapInArrow(count, "bucket long, n0 long, n1 long, docs long").groupBy("bucket").agg(
-        *(F.sum(c).alias(c) for c in ("n0", "n1", "docs"))).filter(F.col("docs") >= LEAST_DOCS).toPandas().sort_values("bucket")
-    kept = counts.bucket.to_numpy()
-    p, q = counts.n1.to_numpy() + SMOOTHING, counts.n0.to_numpy() + SMOOTHING
+        *(F.sum(c).alias(c) for c in ("n0", "n1", "docs"))).filter(F.col("docs") >= LEAST_DOCS).toArrow().sort_by("bucket")
+    kept = counts.column("bucket").to_numpy()
+    p, q = (counts.column(c).to_numpy() + SMOOTHING for c in ("n1", "n0"))
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     fitted = minimise(_loss(texts, kept, ratio, sum(taken.values())), np.zeros(len(kept) + 1), TOLERANCE)
     weights = np.zeros(BUCKETS, np.float32)
@@ -188,13 +191,15 @@ def _loss(texts: DataFrame, kept: np.ndarray, ratio: np.ndarray, size: int):
     documents a row: labels, entries of each document, gaps between feature numbers, and counts, as raw
     numbers (see ``as_steps``); scaled by the ratios, weights times counts are weights times values.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(kept)
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast((kept, ratio))  # once: what a step's function holds is sent with each step
     names = ["y", "lengths", "gaps", "counts"]
     kinds = [np.float32, np.int32, np.uint8, np.uint8]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.full(BUCKETS, -1, np.int64)
-        number[shared.value] = np.arange(len(shared.value))
+        kept, _ = shared.value
+        number[kept] = np.arange(len(kept))
 
         def row(held: list[tuple]) -> pa.RecordBatch:
             y, gaps, counts = zip(*held)
@@ -216,6 +221,7 @@ def _loss(texts: DataFrame, kept: np.ndarray, ratio: np.ndarray, size: int):
 
     def local(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> tuple[float, np.ndarray]:
         loss, gradient = 0.0, np.zeros(len(w))
+        _, ratio = shared.value
         scaled = w[:-1] * ratio
         for raw in python_rows(batches, 4):
             y, lengths, gaps, counts = (np.frombuffer(r, k) for r, k in zip(raw, kinds))
@@ -230,10 +236,12 @@ def _loss(texts: DataFrame, kept: np.ndarray, ratio: np.ndarray, size: int):
         gradient[:-1] *= ratio
         return loss, gradient
 
-    summed = summed_gradient(stored, local, STEP_TASKS)
+    summed, steps = summed_gradient(stored, local, STEP_TASKS), itertools.count(1)
 
     def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
         loss, gradient = summed(w)
+        if next(steps) % STEPS_HELD == 0:
+            release(spark)
         gradient /= size
         gradient[:-1] += RIDGE * w[:-1]
         return loss / size + RIDGE / 2 * float(w[:-1] @ w[:-1]), gradient

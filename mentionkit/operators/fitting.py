@@ -38,9 +38,11 @@ def summed_gradient(rows: DataFrame, local: LocalGradient,
                                              names=["loss", "gradient"])
 
         loss, gradient = 0.0, np.zeros(len(parameters))
-        for row in rows.mapInArrow(one, "loss double, gradient binary").collect():  # in the order of the partitions
-            loss += row.loss
-            gradient += np.frombuffer(row.gradient)
+        # in the order of the partitions; as Arrow, which passes through the driver's JVM without rows made of it
+        got = rows.mapInArrow(one, "loss double, gradient binary").toArrow()
+        for own, part in zip(got.column("loss").to_pylist(), got.column("gradient")):
+            loss += own
+            gradient += np.frombuffer(part.as_buffer())
         shared.destroy()
         return loss, gradient
 

@@ -208,3 +208,25 @@ def test_rare_features_count_beside_thousands_of_more_telling_ones(spark):
     assert (weights != 0).sum() > 8000
     got = toxicity.with_score(table.filter("doc_id >= 20000"), (weights, intercept)).collect()
     assert np.mean([r.score >= 0.5 for r in got]) > 0.95
+
+
+def test_a_step_of_the_fit_sends_no_features_along(spark, monkeypatch):
+    """What a step's function holds passes through the driver each time; the driver's garbage goes between the steps."""
+    import numpy as np
+    from pyspark import cloudpickle
+    from mentionkit.llm import toxicity
+    held, cleared, make = [], [], toxicity.summed_gradient
+    monkeypatch.setattr(toxicity, "release", lambda s: cleared.append(s))
+
+    def summed(rows, local, most):
+        own = make(rows, local, most)
+        return lambda w: held.append(len(cloudpickle.dumps(local))) or own(w)
+
+    monkeypatch.setattr(toxicity, "summed_gradient", summed)
+    texts = spark.createDataFrame([(i % 2, bytearray(f"word{i % 7} other{i % 5}".encode())) for i in range(40)], "y int, text binary")
+    kept = np.arange(toxicity.BUCKETS)
+    objective = toxicity._loss(texts, kept, np.linspace(-1, 1, len(kept)), 40)
+    for _ in range(4):
+        loss, gradient = objective(np.zeros(len(kept) + 1))
+    assert abs(loss - np.log(2)) < 1e-12 and gradient.shape == (len(kept) + 1,) and len(cleared) == 1
+    assert len(held) == 4 and max(held) < 100_000
