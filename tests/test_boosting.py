@@ -95,3 +95,28 @@ def test_empty_tables_null_labels_and_constant_features(spark):
     assert len({(r.p_a, r.p_b, r.p_neither) for r in flat}) == 1 and all(math.isclose(r.p_a + r.p_b + r.p_neither, 1) for r in flat)
     none = B.fit(rows.limit(0), B.Settings(rounds=1))
     assert [r.p_a for r in B.predict(none, rows).collect()] == [pytest.approx(1 / 3)] * 3
+
+
+def test_stored_rows_keep_only_what_is_not_usual(spark):
+    """Mostly zero features take few bytes and few additions, and give the sums and trees of all bins."""
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((700, 60)) < 0.03, rng.integers(1, 4, (700, 60)), 0).astype(float)
+    x[:, :2] = rng.normal(size=(700, 2))
+    label = (x[:, 5:15].sum(axis=1) + x[:, 0] > 0.5).astype(int)
+    rows = table(spark, x, label)
+    edges = B.quantile_edges(rows, "x", 16)
+    for f, e in enumerate(edges):        # exact: the nearest ranks of all values
+        v = np.sort(x[:, f])
+        assert e.tolist() == sorted({v[math.ceil(i / 16 * 700) - 1] for i in range(1, 16)} - {v[-1]})
+    stored = B.binned(rows, edges, ["id"])
+    assert sum(len(r.bins) for r in stored.table.collect()) < 700 * 60 / 4 + 3 * 4 * 60 * 3
+    bins = B.SoftmaxTrees(edges, 2, 2).bins(x)
+    for r in stored.table.collect():
+        block = B.Block(r.n, (stored.usual, stored.base), r.bins)
+        assert all((block.column(f) == bins[r.id, f]).all() for f in range(60))
+    s = B.Settings(rounds=3, depth=3, eta=0.3, min_child_weight=0.5)
+    got, want = B.fit(stored, s, 2), twin(x, label, s, 2, edges)
+    assert all(a.feature.tolist() == b.feature.tolist() and a.bin.tolist() == b.bin.tolist() and a.leaf == pytest.approx(b.leaf, abs=1e-9)
+               for ours, theirs in zip(got.rounds, want.rounds, strict=True) for a, b in zip(ours, theirs))
+    p = {r.id: r.p for r in B.probability(got, stored, ["id"]).collect()}
+    assert np.array([p[i] for i in range(700)]) == pytest.approx(got.probabilities(x)[:, 1], abs=1e-12)
