@@ -142,3 +142,21 @@ def test_phrases_and_names_are_read_from_passages(spark, odd_corpus):
     assert rows(PH.phrase_hits(ph, some)) == rows(PH.phrase_hits(ph, words)) and 0 < some.count() < words.count() / 4
     assert rows(R.scope_name_counts(cx.targets, cx.near_words, cx.corpus.names())) == rows(R.scope_name_counts(cx.targets, words))
     assert not any(f.startswith(f"words-{cx.key}") for f in os.listdir(f"{shared_folder(spark)}/staged"))
+
+
+def test_tokens_by_character_classes_equal_the_pattern(spark):
+    """Texts of all scripts are cut in the task as Spark's own expression cuts them; marks keep few words."""
+    import random
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from mentionkit import schema as S
+    from mentionkit.plans.fixture import can_be_marked
+    rng = random.Random(5)
+    any_char = lambda: chr(rng.choice([rng.randrange(1, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x30000)]))
+    texts = [(i, "".join(rng.choice([any_char(), " ", "\n", "a", "Z", "_", "9", "."]) for _ in range(rng.randrange(60)))) for i in range(300)]
+    df = spark.createDataFrame([*texts, (300, None), (301, ""), (302, " "), (303, "Ⅷ½ á  x")], "i long, t string").coalesce(1)
+    rows = df.select("t", F.regexp_extract_all("t", F.lit(S.TOKEN_PATTERN), 0).alias("r")).collect()
+    got = A._cut(pa.array([r.t for r in rows], pa.string()), A._classes(A.word_characters(spark)))
+    assert got.to_pylist() == [r.r or [] for r in rows]
+    assert "RegExpExtractAll" not in A.tokenize_words(df.toDF("doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert can_be_marked(pa.array(["the", "HIS", "Ann", "An", "ann", "Éva", "12", "x"])).tolist() == [True, True, True, False, False, True, False, False]
