@@ -160,3 +160,18 @@ def test_tokens_by_character_classes_equal_the_pattern(spark):
     assert got.to_pylist() == [r.r or [] for r in rows]
     assert "RegExpExtractAll" not in A.tokenize_words(df.toDF("doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
     assert can_be_marked(pa.array(["the", "HIS", "Ann", "An", "ann", "Éva", "12", "x"])).tolist() == [True, True, True, False, False, True, False, False]
+
+
+def test_nearest_pieces_read_few_words_and_stage_none(spark, odd_corpus):
+    from collections import Counter
+    from mentionkit.operators import wordpiece as WP
+    from mentionkit.plans import catalog_embed as CE
+    from mentionkit.plans import standins as ST
+    from mentionkit.plans.fixture import load_context
+    cx = load_context(spark, odd_corpus)
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    words = A.annotate(cx.corpus.passages)
+    asked = WP.target_beginnings(cx.targets, cx.near_words).select("doc_id", "piece")
+    assert 0 < cx.corpus.words_beginning(asked).count() < words.count() / 2
+    assert rows(CE._nearest(cx)) == rows(WP.nearest_pieces(cx.targets, cx.near_words, ST.first_pieces(words)))
+    assert not any(f.startswith(f"words-{cx.key}") for f in os.listdir(f"{shared_folder(spark)}/staged"))

@@ -61,3 +61,10 @@ def test_dense_vectors_place_every_entry(spark):
     got = {r["id"]: r["features"].toArray().tolist() for r in M._dense(
         spark.createDataFrame(rows, "id long, idx int, val double"), ["id"], 5).collect()}
     assert got == {1: [1.5, 0, 0, 0, -2.0], 2: [0, 0, 3.0, 0, 0], 3: [0.5, 0, 0, 2.5, 1.0]}
+
+
+def test_places_that_stand_several_times_are_gathered_in_turn(spark):
+    rows = [(1, 2, 5.0), (1, 0, 1.0), (2, 1, 4.0), (2, 1, 3.0), (2, 3, None), (3, 0, 2.0)]
+    got = M._gathered(spark.createDataFrame(rows, "id long, idx int, val double").coalesce(1), ["id"], 4)
+    assert {r.id: r.values for r in got.collect()} == {1: [1, 0, 5, 0], 2: [0, 3, 4, 0, None], 3: [2, 0, 0, 0]}
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()     # not laid out number by number in the JVM
