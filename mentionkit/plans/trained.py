@@ -68,7 +68,9 @@ def load(spark: SparkSession, path: str, any_code: bool = False) -> Saved:
 
 
 def features(cx, kind: str, pooled: DataFrame | None = None, cosines: DataFrame | None = None) -> DataFrame:
-    """The rows of a context's mentions that a kind reads, with their split and label."""
+    """The rows of a context's mentions that a kind reads, with their split and label; of a staged table where they are counts alone."""
+    if cx.key and pooled is None:
+        return RK.mention_rows(M.staged_pairs(cx)) if kind == "ranker" else M.boosted_rows(M.staged_mentions(cx))
     counts = M.staged_counts(cx) if cx.key else M.long_counts(cx.targets, cx.near_words)
     if kind == "ranker":
         return RK.mention_rows(M.pair_features(cx.corpus.spans, counts, pooled))
