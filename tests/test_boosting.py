@@ -120,3 +120,9 @@ def test_stored_rows_keep_only_what_is_not_usual(spark):
                for ours, theirs in zip(got.rounds, want.rounds, strict=True) for a, b in zip(ours, theirs))
     p = {r.id: r.p for r in B.probability(got, stored, ["id"]).collect()}
     assert np.array([p[i] for i in range(700)]) == pytest.approx(got.probabilities(x)[:, 1], abs=1e-12)
+
+
+def test_a_side_as_large_as_the_least_but_for_rounding_will_do():
+    g, h = np.array([[-1.0, 1.0]]), np.array([[1 - 1e-14, 2.0]])
+    assert B.best_split(g, h, np.ones(1, bool), B.Settings(min_child_weight=1))[1:3] == (0, 0)
+    assert B.best_split(g, h, np.ones(1, bool), B.Settings(min_child_weight=1.1))[1] == -1
